@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terralattice.llm._common import ascii_lower, small_batches, text_hash
+from terralattice.llm._common import Stored, ascii_lower, small_batches, text_hash
 
 SPACE = " \t\n\x0b\f\r"
 _KEY = ("_ld_id", "_ld_hash")
@@ -52,12 +52,14 @@ def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, text: str, do
             )
         ).alias("_h"),
     ).select("_ld_id", "_h._a", "_h._b")
-    common = (
+    # Stored, for an aggregate that keeps its partitioning up to the join would keep a hot line from being split.
+    common = Stored(
         own.groupBy("_a", "_b")
         .agg(F.count(F.lit(1)).alias("_n"), F.max("_ld_id").alias("_keeper"))
         .filter((F.col("_n") >= min_docs) & F.col("_keeper").isNotNull())
-        .select("_a", "_b", "_keeper")
-    )
+        .select("_a", "_b", "_keeper"),
+        "lines",
+    ).df
     # The join keys are hashes, so a line that a third of all documents share is split by adaptive skew joins.
     lost = keys.join(common, ["_a", "_b"]).filter(~F.col("_ld_id").eqNullSafe(F.col("_keeper")))
     return lost.groupBy(*_KEY).agg(F.collect_set("_pos").alias("_lost"))
