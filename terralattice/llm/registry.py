@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from terralattice.llm import decontaminate, line_dedup
+from terralattice.llm import decontaminate, exact_search, line_dedup, minhash_dedup
 
 _MODULES = {
+    "op1_minhash_dedup": minhash_dedup,
     "op2_decontaminate": decontaminate,
+    "op7_exact_topk": exact_search,
     "op8_line_dedup": line_dedup,
 }
 
