@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from terralattice.llm import decontaminate, exact_search, line_dedup, minhash_dedup
+from terralattice.llm import decontaminate, exact_search, language_id, line_dedup, minhash_dedup, toxicity
 
 _MODULES = {
     "op1_minhash_dedup": minhash_dedup,
     "op2_decontaminate": decontaminate,
+    "op5_language_id": language_id,
+    "op6_toxicity": toxicity,
     "op7_exact_topk": exact_search,
     "op8_line_dedup": line_dedup,
 }
