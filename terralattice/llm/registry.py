@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from terralattice.llm import decontaminate, exact_search, language_id, line_dedup, minhash_dedup, toxicity
+from terralattice.llm import decontaminate, exact_search, language_id, line_dedup, minhash_dedup, packing, toxicity, warc
 
 _MODULES = {
     "op1_minhash_dedup": minhash_dedup,
     "op2_decontaminate": decontaminate,
+    "op3_packing": packing,
     "op5_language_id": language_id,
     "op6_toxicity": toxicity,
     "op7_exact_topk": exact_search,
     "op8_line_dedup": line_dedup,
+    "op9_warc": warc,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}
