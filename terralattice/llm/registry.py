@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from terralattice.llm import decontaminate, exact_search, language_id, line_dedup, minhash_dedup, packing, toxicity, warc
+from terralattice.llm import decontaminate, exact_search, language_id, line_dedup, minhash_dedup, packing, suffix_dedup, toxicity, warc
 
 _MODULES = {
     "op1_minhash_dedup": minhash_dedup,
     "op2_decontaminate": decontaminate,
     "op3_packing": packing,
+    "op4_suffix_dedup": suffix_dedup,
     "op5_language_id": language_id,
     "op6_toxicity": toxicity,
     "op7_exact_topk": exact_search,
