@@ -7,12 +7,12 @@ bucket.  Candidates come from buckets without making all pairs:
 1. every class pairs with the smallest class of each of its buckets;
 2. pairs whose signatures cannot belong to similar sets fall out, the others are confirmed on their full sets;
 3. large-star and small-star steps give components;
-4. in buckets that still hold several components, each class outside the bucket's most common component pairs with the
-   bucket's classes of other components, if that pair was not confirmed or refuted before; then 2 and 3 again.
+4. in buckets that still hold several components, the classes outside the bucket's most common component are looked up in inverted
+   indexes of the bucket's members, block by block; only links come out, never pairs.  Then 3 again.
 
 After step 4 every two classes that share a bucket are in one component or were compared, so a
-bucket's members lose no link, whatever the bucket's size, and its number of pairs is that of its stragglers times
-its size.  With 32 bands of 4 rows, two sets of similarity 0.8 share no bucket with a probability of 5e-8.
+bucket's members lose no link, whatever the bucket's size.  With 32 bands of 4 rows, two sets of similarity 0.8 share no
+bucket with a probability of 5e-8.
 
 Null and empty texts have the empty set, which is linked with nothing.  Documents without an id are linked with nothing
 and have no component.  Rows that repeat an id are one node of the graph.  Extra columns pass through
@@ -34,6 +34,8 @@ from terralattice.llm.shingles import shingle_set
 BANDS, ROWS = 32, 4
 #: Standard deviations of the signature's estimate that a refuted pair lies below the threshold.
 MARGIN = 6.5
+#: Rows of a bucket that one task compares with as many others.
+BLOCK = 256
 
 
 def _hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,6 +133,35 @@ def _similar_sets(words: int, percent: int):
     return run
 
 
+def _links(words: int, percent: int):
+    """For a block of a bucket: a link from each outer row to each other component that holds a similar member."""
+
+    def run(table: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
+        rep, comp, outer = (table.column(c).to_numpy() for c in ("rep", "comp", "outer"))
+        packed = table.column("packed")
+        members = np.flatnonzero(~outer)
+        sets = [shingle_set(unpack(packed[int(i)].as_py()), words) for i in members]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        hashes = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        hashes, owners = hashes[order], np.repeat(np.arange(len(members)), sizes)[order]
+        links = []
+        for i in np.flatnonzero(outer):
+            own = shingle_set(unpack(packed[int(i)].as_py()), words)
+            left, right = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+            n = right - left
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left, n)
+            common = np.bincount(owners[at], minlength=len(members))
+            near = 100 * common >= percent * (len(own) + sizes - common)
+            found = {int(comp[m]): int(rep[m]) for m in members[near] if comp[m] != comp[i]}
+            links += [(int(rep[i]), other) for other in found.values()]
+        u, v = zip(*links) if links else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
 def _packed(batches):
     pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
@@ -182,15 +213,12 @@ class NearDuplicates:
         edges = self._confirmed(first.df)
         stars = connected_components(edges.df)
         edges.drop()
-        second = self._stragglers(shared.df, stars.df, first.df)
-        if not second.df.isEmpty():
-            more = self._confirmed(second.df)
-            if not more.df.isEmpty():
-                wider = connected_components(stars.df.unionAll(more.df))
-                stars.drop()
-                stars = wider
-            more.drop()
-        for table in (second, first, packed, shared):
+        more = self._stragglers(shared.df, stars.df)
+        if not more.df.isEmpty():
+            wider = connected_components(stars.df.unionAll(more.df))
+            stars.drop()
+            stars = wider
+        for table in (more, first, packed, shared):
             table.drop()
         release_shuffles(spark)
 
@@ -242,34 +270,61 @@ class NearDuplicates:
         release_shuffles(self.spark)
         return out
 
-    def _stragglers(self, shared: DataFrame, stars: DataFrame, done: DataFrame) -> Stored:
-        """Pairs of different components in one bucket that were not compared yet."""
+    def _stragglers(self, shared: DataFrame, stars: DataFrame) -> Stored:
+        """u, v: links across components within one bucket, found without making its pairs.
+
+        A bucket's members and those outside its main component are cut into blocks of at most about BLOCK rows; a task gets one block of
+        either and looks the ones up in an inverted index of the others.
+        """
         placed = Stored(
             shared.join(stars.select(F.col("u").alias("rep"), F.col("v").alias("to")), "rep", "left").select(
                 "bucket", "rep", F.coalesce("to", "rep").alias("comp")
             ),
             "placed",
         )
-        per = Stored(placed.df.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")), "per")
+        per = Stored(
+            placed.df.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x")), "per"
+        )
+        # Two members were compared in the first round, and buckets of the same members need one look.
         main = Stored(
             per.df.groupBy("bucket")
-            .agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("k"))
-            .filter("k > 1")
-            .select("bucket", "main"),
+            .agg(
+                F.max_by("comp", F.struct("n", "comp")).alias("main"),
+                F.count(F.lit(1)).alias("k"),
+                F.sum("n").alias("m"),
+                F.max("n").alias("in_main"),
+                F.bit_xor("x").alias("x"),
+            )
+            .filter("k > 1 AND m > 2")
+            .groupBy("x", "m")
+            .agg(F.min_by(F.struct("bucket", "main", (F.col("m") - F.col("in_main")).alias("outside")), "bucket").alias("one"))
+            .select("one.*", "m"),
             "main",
         )
         per.drop()
-        mixed = Stored(placed.df.join(main.df, "bucket"), "mixed")
+        mixed = Stored(
+            placed.df.join(main.df, "bucket").select(
+                "bucket",
+                "rep",
+                "comp",
+                (F.col("comp") != F.col("main")).alias("outer"),
+                F.ceil(F.col("m") / BLOCK).cast("int").alias("n_in"),
+                F.ceil(F.col("outside") / BLOCK).cast("int").alias("n_out"),
+            ),
+            "mixed",
+        )
         main.drop()
         placed.drop()
-        outer = mixed.df.filter("comp <> main").select("bucket", F.col("rep").alias("a"), F.col("comp").alias("ca"))
-        pairs = (
-            outer.join(mixed.df.select("bucket", F.col("rep").alias("b"), "comp", "main"), "bucket")
-            .filter("ca <> comp AND (comp = main OR a < b)")
-            .select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-            .distinct()
+        spread = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        members = mixed.df.select("bucket", "rep", "comp", F.lit(False).alias("outer"), spread("n_in").alias("i"), every("n_out").alias("o"))
+        outer = mixed.df.filter("outer").select(
+            "bucket", "rep", "comp", F.lit(True).alias("outer"), every("n_in").alias("i"), spread("n_out").alias("o")
+        )
+        blocks = members.unionAll(outer).join(self.packed.withColumnRenamed("id", "rep"), "rep")
+        out = Stored(
+            blocks.groupBy("bucket", "i", "o").applyInArrow(_links(self.words, self.percent), "u long, v long").distinct(), "links"
         )
-        out = Stored(pairs.join(done, ["x", "y"], "left_anti"), "second")
         mixed.drop()
         return out
 
