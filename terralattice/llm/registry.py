@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from terralattice.llm import decontaminate, exact_search, language_id, line_dedup, minhash_dedup, packing, suffix_dedup, toxicity, warc
+from terralattice.llm import decontaminate, exact_search, language_id, line_dedup, minhash_dedup, packing, pii, suffix_dedup, toxicity, warc
 
 _MODULES = {
     "op1_minhash_dedup": minhash_dedup,
+    "op10_pii": pii,
     "op2_decontaminate": decontaminate,
     "op3_packing": packing,
     "op4_suffix_dedup": suffix_dedup,
