@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from terralattice.plans import _register
+from terralattice.plans import places  # noqa: F401  (registers its queries)
+
+QUERIES = _register.QUERIES
+ORACLES = _register.ORACLES
