@@ -48,8 +48,14 @@ def _total(items: Column, value) -> Column:
     return F.aggregate(items, F.lit(0.0), lambda acc, x: acc + value(x))
 
 
+def _from_first(ring: Column) -> Column:
+    """The ring with its first vertex as origin: sums of products then keep their digits for small shapes far from 0."""
+    first = F.get(ring, F.lit(0))
+    return F.transform(ring, lambda v: vertex(v["x"] - first["x"], v["y"] - first["y"]))
+
+
 def signed_area(ring: Column) -> Column:
-    return _total(edges_of(ring), lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]) / 2
+    return _total(edges_of(_from_first(ring)), lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]) / 2
 
 
 def area(polygon: Column) -> Column:
@@ -99,13 +105,13 @@ def contains_any(shape: Column, x: Column, y: Column) -> Column:
 def ring_centroid(ring: Column) -> Column:
     """Area-weighted; the vertices' mean where the area is 0."""
     cross = lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
-    a = signed_area(ring)
-    n = F.size(ring)
+    a, n, first = signed_area(ring), F.size(ring), F.get(ring, F.lit(0))
+    edges = edges_of(_from_first(ring))
     return F.when(
         a != 0,
         vertex(
-            _total(edges_of(ring), lambda e: (e["a"]["x"] + e["b"]["x"]) * cross(e)) / (6 * a),
-            _total(edges_of(ring), lambda e: (e["a"]["y"] + e["b"]["y"]) * cross(e)) / (6 * a),
+            first["x"] + _total(edges, lambda e: (e["a"]["x"] + e["b"]["x"]) * cross(e)) / (6 * a),
+            first["y"] + _total(edges, lambda e: (e["a"]["y"] + e["b"]["y"]) * cross(e)) / (6 * a),
         ),
     ).otherwise(vertex(_total(ring, lambda v: v["x"]) / n, _total(ring, lambda v: v["y"]) / n))
 

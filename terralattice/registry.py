@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from terralattice.plans import _register
-from terralattice.plans import places  # noqa: F401  (registers its queries)
+from terralattice.plans import areas, names, places  # noqa: F401  (they register their queries)
 
 QUERIES = _register.QUERIES
 ORACLES = _register.ORACLES
