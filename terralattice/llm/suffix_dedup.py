@@ -8,10 +8,10 @@ times its size, so suffixes are cut down in exact steps:
    segment, so a corpus has about one segment per seventy bytes.
 2. Segments are counted by anchor.  An anchor that occurs once has no repeated window.  If all segments of an anchor are equal,
    they are repeated as a whole.  Only the rest, at the borders of repeats, is compared window by window.
-3. For one copy of each differing segment, every window is a suffix, cut to ``length`` bytes: its leading bytes, its hash and its anchor's hash.
-   Each task first combines its equal suffixes, so that a hot one weighs as much as there are tasks; then sampled splitters
-   range-partition the suffixes by their leading bytes, each bucket sorts its own by multikey quicksort, and equal
-   neighbours are repeats.  Splitters never part equal suffixes, so no equal pair lies across a boundary.
+3. One copy of each differing segment goes on as the suffix that begins at its anchor: leading bytes, and the hashes of its windows.  Sampled splitters
+   range-partition the suffixes by their leading bytes; each bucket sorts its windows by multikey quicksort, and equal neighbours are repeats.
+   Splitters never part equal leading bytes, so no equal pair lies across a boundary.  An anchor with more than HOT differing segments is
+   spread further: its windows are dealt by hash blocks too, as many as its segments ask for, and each block is sorted and compared by itself.
 4. A segment's repeated windows all cover its anchor, so the first and the last one give the bytes to remove.
 
 Equality is by two independent 64-bit hashes (of the window and of its anchor), the only step that is not a comparison of bytes.
@@ -34,6 +34,11 @@ from pyspark.sql import types as T
 from terralattice.llm._common import Stored, mix64, release_shuffles, small_batches, text_hash, texts_of
 
 LENGTH, ANCHOR = 200, 64
+#: Differing segments from which on an anchor's windows are spread over the cluster row by row.
+HOT = 256
+#: Segments of a hot anchor per hash block of its windows.
+BLOCK = 1024
+_REACH = "anchor long, content long, low long, high long"
 CHUNK = 1 << 17
 _POSITION = np.uint64((1 << 28) - 1)
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -82,7 +87,7 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(texts: list[bytes], length: int, anchor: int):
-    """Arrays (text number, first window, last window, anchor hash, hash of first window, of last window)."""
+    """Arrays (text number, first window, last window, anchor, anchor hash, hash of first window, of last window)."""
     ends = np.cumsum([len(t) for t in texts])
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < length:
@@ -104,6 +109,7 @@ def segments(texts: list[bytes], length: int, anchor: int):
         owner[first],
         first - begin,
         last - begin,
+        least[first].astype(np.int64) - begin,
         small[least[first].astype(np.int64)].view(np.int64),
         large[first].view(np.int64),
         large[last].view(np.int64),
@@ -123,7 +129,7 @@ def _chunks(texts: list[bytes]):
 
 
 def _segmented(length: int, anchor: int):
-    names = ["doc_id", "text_hash", "a", "b", "anchor", "content"]
+    names = ["doc_id", "text_hash", "a", "b", "p", "anchor", "content"]
 
     def run(batches):
         for batch in batches:
@@ -132,7 +138,7 @@ def _segmented(length: int, anchor: int):
                 found = segments(texts[i:j], length, anchor)
                 if found is None:
                     continue
-                owner, a, b, anchors, head, tail = found
+                owner, a, b, p, anchors, head, tail = found
                 content = mix64(
                     mix64(head.view(np.uint64) + (b - a).astype(np.uint64)) * np.uint64(3) + tail.view(np.uint64)
                 ).view(np.int64)
@@ -143,6 +149,7 @@ def _segmented(length: int, anchor: int):
                         batch.column(1).take(at),
                         pa.array(a, pa.int64()).cast(pa.int32()),
                         pa.array(b, pa.int64()).cast(pa.int32()),
+                        pa.array(p, pa.int64()).cast(pa.int32()),
                         pa.array(anchors, pa.int64()),
                         pa.array(content, pa.int64()),
                     ],
@@ -153,18 +160,15 @@ def _segmented(length: int, anchor: int):
 
 
 def _suffixes(length: int):
-    """Windows of the listed segments: leading bytes, hash, anchor, content, place in the segment."""
-    names = ["lead", "window", "anchor", "content", "at"]
+    """A row per listed segment: leading bytes of its anchor's suffix, anchor, content, and the hashes of all its windows."""
+    names = ["lead", "anchor", "content", "k", "windows"]
 
     def run(batches):
         for batch in batches:
             for text, listed in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
                 data = np.frombuffer(text, np.uint8)
                 (large,) = window_hashes(data, (length,))
-                a = np.array([x["a"] for x in listed], np.int64)
-                counts = np.array([x["b"] for x in listed], np.int64) - a + 1
-                step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                at = np.repeat(a, counts) + step
+                at = np.array([x["p"] for x in listed], np.int64)
                 lead = np.zeros(len(at), np.uint64)
                 for k in range(8):
                     lead = (lead << np.uint64(8)) | data[at + k].astype(np.uint64)
@@ -172,10 +176,10 @@ def _suffixes(length: int):
                     [
                         # Shifted into the signed range, with the order of the bytes.
                         pa.array((lead ^ np.uint64(1 << 63)).view(np.int64), pa.int64()),
-                        pa.array(large[at].view(np.int64), pa.int64()),
-                        pa.array(np.repeat(np.array([x["anchor"] for x in listed], np.int64), counts), pa.int64()),
-                        pa.array(np.repeat(np.array([x["content"] for x in listed], np.int64), counts), pa.int64()),
-                        pa.array(step, pa.int64()).cast(pa.int32()),
+                        pa.array([x["anchor"] for x in listed], pa.int64()),
+                        pa.array([x["content"] for x in listed], pa.int64()),
+                        pa.array([x["k"] for x in listed], pa.int64()),
+                        pa.array([large[x["a"] : x["b"] + 1].tobytes() for x in listed], pa.binary()),
                     ],
                     names=names,
                 )
@@ -183,6 +187,77 @@ def _suffixes(length: int):
     return run
 
 
+def _windows(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of some rows: hash, row, place in the row."""
+    counts = np.array([len(w) // 8 for w in packed], np.int64)
+    rows = np.repeat(np.arange(len(packed)), counts)
+    return np.frombuffer(b"".join(packed), np.int64), rows, np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _bucket(batches):
+    """anchor, content, low, high: first and last window of each segment that another segment of the bucket holds too."""
+    parts = [[batch.column(c).to_numpy() for c in ("anchor", "content")] + [batch.column("windows").to_pylist()] for batch in batches]
+    parts = [p for p in parts if len(p[0])]
+    if not parts:
+        return
+    anchor, content = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    window, row, place = _windows([w for p in parts for w in p[2]])
+    yield from _reaches(anchor[row], content[row], window, place)
+
+
+def _dealt(batches):
+    """Windows of hot anchors, dealt by anchor and hash block: one packed row per batch, anchor and block."""
+    for batch in batches:
+        k = batch.column("k").to_numpy()
+        window, row, place = _windows(batch.column("windows").to_pylist())
+        if not len(row):
+            continue
+        anchor, content = (batch.column(c).to_numpy()[row] for c in ("anchor", "content"))
+        block = window.view(np.uint64) % (k[row] // BLOCK + 1).astype(np.uint64)
+        order, differs = _sorted_runs([anchor, block.astype(np.int64)])
+        cuts = np.flatnonzero(differs)
+        ends = np.append(cuts[1:], len(order))
+        packed = [[v[order[a:b]].tobytes() for a, b in zip(cuts, ends)] for v in (window, content, place)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(anchor[order[cuts]], pa.int64()),
+                pa.array(block[order[cuts]].astype(np.int64), pa.int64()),
+                *(pa.array(p, pa.binary()) for p in packed),
+            ],
+            names=["anchor", "block", "windows", "contents", "places"],
+        )
+
+
+def _blocks(batches):
+    """anchor, content, low, high within the blocks of one bucket."""
+    parts = []
+    for batch in batches:
+        anchors = batch.column("anchor").to_numpy()
+        packed = [batch.column(c).to_pylist() for c in ("windows", "contents", "places")]
+        for i in range(batch.num_rows):
+            window, content, place = (np.frombuffer(p[i], np.int64) for p in packed)
+            parts.append((np.full(len(window), anchors[i]), content, window, place))
+    if parts:
+        yield from _reaches(*(np.concatenate(c) for c in zip(*parts)))
+
+
+def _reaches(anchor, content, window, place):
+    """First and last place of each segment's windows that another segment holds too."""
+    order, differs = _sorted_runs([anchor, window])
+    starts = np.flatnonzero(differs)
+    of = content[order]
+    several = np.minimum.reduceat(of, starts) < np.maximum.reduceat(of, starts)
+    hit = order[np.repeat(several, np.diff(np.append(starts, len(order))))]
+    if not len(hit):
+        return
+    anchor, content, place = anchor[hit], content[hit], place[hit]
+    order, differs = _sorted_runs([anchor, content])
+    starts = np.flatnonzero(differs)
+    place = place[order]
+    columns = [anchor[order[starts]], content[order[starts]], np.minimum.reduceat(place, starts), np.maximum.reduceat(place, starts)]
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["anchor", "content", "low", "high"])
+
+
 def multikey_quicksort(keys: list[np.ndarray]) -> np.ndarray:
     """The order that sorts rows by their key words: three-way splits on one word, the next word only among equals."""
     order = np.arange(len(keys[0]))
@@ -204,48 +279,15 @@ def multikey_quicksort(keys: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def _combined(batches):
-    """Equal suffixes of a batch as one row, with the least and the greatest segment that they come from."""
-    for batch in batches:
-        keys = [batch.column(i).to_numpy() for i in range(3)]
-        content = batch.column(3).to_numpy()
-        yield _key_batch(keys, *_runs(keys, content, content))
-
-
-def _repeats(batches):
-    """A bucket's suffixes that come from several segments."""
-    parts = [[batch.column(i).to_numpy() for i in range(5)] for batch in batches]
-    if not parts:
-        return
-    *keys, low, high = (np.concatenate(c) for c in zip(*parts))
-    at, low, high = _runs(keys, low, high)
-    more = low < high
-    if more.any():
-        yield _key_batch(keys, at[more], low[more], high[more])
-
-
-def _runs(keys: list[np.ndarray], low: np.ndarray, high: np.ndarray):
-    """After the sort: a row of each run of equal keys, and the run's least and greatest segment."""
+def _sorted_runs(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted order, and where in it a new key begins."""
     order = multikey_quicksort(keys)
-    if not len(order):
-        return order, low, high
     differs = np.zeros(len(order), bool)
-    differs[0] = True
+    differs[:1] = True
     for k in keys:
         k = k[order]
         differs[1:] |= k[1:] != k[:-1]
-    starts = np.flatnonzero(differs)
-    return order[starts], np.minimum.reduceat(low[order], starts), np.maximum.reduceat(high[order], starts)
-
-
-_KEYS = "lead long, window long, anchor long, low long, high long"
-
-
-def _key_batch(keys, at, low, high):
-    return pa.RecordBatch.from_arrays(
-        [*(pa.array(k[at], pa.int64()) for k in keys), pa.array(low, pa.int64()), pa.array(high, pa.int64())],
-        names=["lead", "window", "anchor", "low", "high"],
-    )
+    return order, differs
 
 
 def repeated_spans(docs: DataFrame, *, length: int, anchor: int, text: str, doc_id: str) -> tuple[DataFrame, list[Stored]]:
@@ -256,7 +298,7 @@ def repeated_spans(docs: DataFrame, *, length: int, anchor: int, text: str, doc_
     id_type = docs.schema[doc_id].dataType.simpleString()
     found = Stored(
         texts.mapInArrow(
-            _segmented(length, anchor), f"doc_id {id_type}, text_hash long, a int, b int, anchor long, content long"
+            _segmented(length, anchor), f"doc_id {id_type}, text_hash long, a int, b int, p int, anchor long, content long"
         ),
         "segments",
     )
@@ -276,48 +318,55 @@ def repeated_spans(docs: DataFrame, *, length: int, anchor: int, text: str, doc_
     mixed = shared.df.filter("mixed")
     contents = Stored(
         mixed.groupBy("anchor", "content").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_hash", "a", "b")).alias("one")
+            F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_hash", "a", "b", "p")).alias("one")
         ),
         "contents",
     )
+    per_anchor = Stored(contents.df.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > HOT), "hot")
+    any_hot = not per_anchor.df.isEmpty()
     listed = (
-        contents.df.select("one.*", "anchor", "content")
+        contents.df.join(per_anchor.df, "anchor", "left")
+        .select("one.*", "anchor", "content", F.coalesce("k", F.lit(0)).alias("k"))
         .groupBy("doc_id", "text_hash")
-        .agg(F.collect_list(F.struct("a", "b", "anchor", "content")).alias("listed"))
+        .agg(F.collect_list(F.struct("a", "b", "p", "anchor", "content", "k")).alias("listed"))
         .select(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash"), "listed")
     )
-    # Equal rows share id and hash; one of them is enough to read a segment's bytes.
+    # Equal rows share id and hash; a segment read twice has one content and counts once.
     source = texts.join(listed, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("text_hash") == F.col("l_hash"))).select(
         "text", "listed"
     )
     suffixes = Stored(
-        source.mapInArrow(_suffixes(length), "lead long, window long, anchor long, content long, at int"), "suffixes"
+        source.mapInArrow(_suffixes(length), "lead long, anchor long, content long, k long, windows binary"), "suffixes"
     )
     release_shuffles(spark)
     pieces = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    small_batches(spark, 1 << 16)
-    repeats = Stored(
-        suffixes.df.select("lead", "window", "anchor", "content")
-        .mapInArrow(_combined, _KEYS)
-        .repartitionByRange(pieces, "lead", "window", "anchor")
-        .mapInArrow(_repeats, _KEYS),
-        "repeats",
-    )
-    small_batches(spark, 256)
-    release_shuffles(spark)
+    small_batches(spark, 1024)
     reach = (
-        suffixes.df.join(repeats.df.select("window", "anchor"), ["window", "anchor"])
-        .groupBy("anchor", "content")
-        .agg(F.min("at").alias("low"), F.max("at").alias("high"))
+        suffixes.df.filter("k = 0")
+        .repartitionByRange(pieces, "lead", "anchor")
+        .select("anchor", "content", "windows")
+        .mapInArrow(_bucket, _REACH)
     )
+    used = [suffixes, per_anchor, contents]
+    if any_hot:
+        parts = (
+            suffixes.df.filter("k > 0")
+            .mapInArrow(_dealt, "anchor long, block long, windows binary, contents binary, places binary")
+            .repartitionByRange(pieces, "anchor", "block")
+            .mapInArrow(_blocks, _REACH)
+        )
+        reach = reach.unionAll(parts.groupBy("anchor", "content").agg(F.min("low").alias("low"), F.max("high").alias("high")))
+    reach = Stored(reach, "reach")
+    release_shuffles(spark)
     ends = Stored(
-        contents.df.join(reach, ["anchor", "content"], "left")
+        contents.df.join(reach.df, ["anchor", "content"], "left")
         .filter("n > 1 OR low IS NOT NULL")
         .select("anchor", "content", F.expr("IF(n > 1, NULL, low)").alias("low"), F.expr("IF(n > 1, NULL, high)").alias("high")),
         "ends",
     )
-    for table in (suffixes, repeats, contents):
+    for table in [*used, reach]:
         table.drop()
+    small_batches(spark, 256)
     release_shuffles(spark)
     border = mixed.join(ends.df, ["anchor", "content"]).select(
         "doc_id",
