@@ -94,27 +94,28 @@ def _logistic(z: np.ndarray) -> np.ndarray:
 
 
 class Linear:
-    """Logistic regression on sparse rows plus dense extra columns, by accelerated gradient descent."""
+    """Logistic regression on sparse rows plus dense extra columns, by gradient descent with a step of its own for every weight."""
 
-    def __init__(self, indptr, indices, values, extra, y, n_features: int, steps: int = 400, penalty: float = 1e-5):
+    def __init__(self, indptr, indices, values, extra, y, n_features: int, steps: int = 40, penalty: float = 1e-3):
         n = len(y)
         rows = np.repeat(np.arange(n), np.diff(indptr))
         weights, dense, bias = np.zeros(n_features), np.zeros(extra.shape[1]), 0.0
         rate = float(np.clip(y.mean() if n else 0.0, 1e-6, 1 - 1e-6))
         bias = math.log(rate / (1 - rate))
         if 0 < y.sum() < n:
-            norms = np.bincount(rows, values**2, n) + (extra**2).sum(1) + 1
-            step = 4.0 / max(float(np.percentile(norms, 95)), 1e-9)
-            momentum = [np.zeros(n_features), np.zeros(extra.shape[1]), 0.0]
-            for t in range(steps):
-                z = np.bincount(rows, values * weights[indices], n) + extra @ dense + bias
-                error = (_logistic(z) - y) / max(rate, 1e-3) / n
-                push = 0.9 if t else 0.0
-                for k, gradient in enumerate(
-                    (np.bincount(indices, values * error[rows], n_features) + penalty * weights, extra.T @ error, error.sum())
-                ):
-                    momentum[k] = push * momentum[k] - step * gradient
-                weights, dense, bias = weights + momentum[0], dense + momentum[1], bias + momentum[2]
+            # Steps shrink with the size of past gradients, so rare features move as readily as common ones.
+            x = np.concatenate((weights, dense, [bias]))
+            first, second = np.zeros_like(x), np.zeros_like(x)
+            cut = (n_features, n_features + extra.shape[1])
+            for t in range(1, steps + 1):
+                error = (_logistic(np.bincount(rows, values * x[indices], n) + extra @ x[cut[0] : cut[1]] + x[-1]) - y) / n
+                gradient = np.concatenate(
+                    (np.bincount(indices, values * error[rows], n_features) + penalty * x[: cut[0]], extra.T @ error, [error.sum()])
+                )
+                first += 0.1 * (gradient - first)
+                second += 0.01 * (gradient * gradient - second)
+                x -= 0.15 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-9)
+            weights, dense, bias = x[: cut[0]], x[cut[0] : cut[1]], float(x[-1])
         self.weights, self.dense, self.bias = weights, dense, bias
 
     def of_rows(self, indptr, indices, values, extra) -> np.ndarray:
@@ -133,10 +134,11 @@ class Chain:
     def __init__(self, names: list[str], vectoriser: Vectoriser):
         self.names, self.vectoriser, self.models, self.thresholds = names, vectoriser, [], []
 
-    def fit(self, rows: list[dict[int, float]], labels: np.ndarray, fold: np.ndarray) -> Chain:
-        lengths = np.array([len(r) for r in rows], np.int64)
-        indices = np.array([i for r in rows for i in r], np.int64)
-        values = np.array([v for r in rows for v in r.values()], float)
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, fold: np.ndarray) -> Chain:
+        """``rows``: feature numbers and values of each document."""
+        lengths = np.array([len(at) for at, _ in rows], np.int64)
+        indices = np.concatenate([np.empty(0, np.int32), *(at for at, _ in rows)]).astype(np.int64)
+        values = np.concatenate([np.empty(0, np.float32), *(value for _, value in rows)]).astype(float)
         indptr = np.concatenate(([0], np.cumsum(lengths)))
         size = len(self.vectoriser.index)
 
@@ -237,9 +239,7 @@ def fit_chain(
         vectors, "id string, labels array<int>, at binary, value binary"
     ).collect()
     found.sort(key=lambda r: (r["id"], r["at"], r["value"]))
-    rows = [
-        dict(zip(np.frombuffer(r["at"], np.int32).tolist(), np.frombuffer(r["value"], np.float32).tolist())) for r in found
-    ]
+    rows = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32)) for r in found]
     y = np.array([r["labels"] for r in found], int).reshape(len(found), len(categories))
     fold = np.array([zlib.crc32(r["id"].encode()) % FOLDS for r in found], int)
     return chain.fit(rows, y, fold)
