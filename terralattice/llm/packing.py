@@ -16,6 +16,9 @@ rows give no sequences.
 from __future__ import annotations
 
 import base64
+import functools
+import json
+import os
 import zlib
 
 import numpy as np
@@ -42,8 +45,23 @@ def tokenizer_file(name: str = "byte_bpe_50k") -> str:
     return public_tokenizers.path(f"{name}.tiktoken")
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Tokens that the tokenizers file of a rank file's vocabulary finds in texts as they stand, with their ids."""
+    beside = f"{path.removesuffix('.tiktoken')}.json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added):
+        raise ValueError(f"{beside} has added tokens that are not matched as they stand")
+    return {t["content"]: t["id"] for t in added}
+
+
 def encoder(path: str):
-    """The byte-level BPE of a rank file.  It gives the ids of the same vocabulary's tokenizers file, several times as fast."""
+    """The byte-level BPE of a rank file.  It gives the ids of the same vocabulary's tokenizers file, several times as fast.
+
+    A rank file lacks the vocabulary's added tokens, which are taken from the tokenizers file beside it.
+    """
     if path not in _encoders:
         import public_tokenizers
         import tiktoken
@@ -51,14 +69,15 @@ def encoder(path: str):
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         _encoders[path] = tiktoken.Encoding(
-            "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+            "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path)
         )
     return _encoders[path]
 
 
 def _tokenised(path: str, end_id: int):
     def run(batches):
-        encode = encoder(path).encode_ordinary
+        encoding = encoder(path)
+        encode = functools.partial(encoding.encode, allowed_special="all", disallowed_special=())
         for batch in batches:
             packed, sizes, keys = [], [], []
             for text in batch.column(1).to_pylist():

@@ -224,6 +224,21 @@ def test_packing_of_odd_texts_matches_the_tokenizers_file(spark):
         assert packing.encoder(packing.tokenizer_file()).encode_ordinary(t) == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_packing_finds_added_tokens_in_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(11)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "a", " the", "é", "漢", "'s", "<", "12"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y ", "<|EndOfText|>"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 30))) for _ in range(200)]
+    got = {p["doc_id"]: p for p in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=10**6).collect()}
+    for i, t in enumerate(texts):
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        assert (got[i]["doc_tokens"], got[i]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
+
+
 def test_neighbours_share_windows():
     docs = [np.array([5000 + i % 7, 9000 + i % 7, 4000, 1]) for i in range(70)]
     idf = np.full(20_000, 0.1)
