@@ -89,7 +89,7 @@ def reachable(directed: DataFrame, sources: DataFrame, seconds: float, hops: int
     return best
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component: the least node id each node can reach, by label exchange until nothing changes.
 
     Lineage is cut with checkpoint(), which survives lost executors.
@@ -103,7 +103,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         own = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terralattice-cp-")
         spark.sparkContext.setCheckpointDir(own)
     labels = labels.checkpoint()
-    for _ in range(rounds):
+    while True:
         offered = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("offer"))
         # Each node also takes its label's own label, which halves long chains.
         over = labels.select(F.col("node").alias("at"), F.col("component").alias("jump"))
@@ -113,11 +113,10 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
             .select("node", F.least("component", "offer", "jump").alias("component"))
             .checkpoint()
         )
-        moved = fresh.join(labels.withColumnRenamed("component", "old"), "node").filter("component < old").isEmpty()
+        settled = fresh.join(labels.withColumnRenamed("component", "old"), "node").filter("component < old").isEmpty()
         labels = fresh
-        if moved:
-            break
-    return labels
+        if settled:
+            return labels
 
 
 def snap(points: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -70,13 +70,13 @@ _SUB = """sub AS (SELECT DISTINCT src, dst FROM edges WHERE src < 60 AND dst < 6
     SELECT node, min(c) AS component FROM r GROUP BY node""",
 )
 def n04_components(spark, sf_dir):
-    edges = G.road_edges(spark, sf_dir).filter("src < 60 AND dst < 60").select("src", "dst")
+    edges = G.road_edges(spark, sf_dir).select("src", "dst")
     return R.components(edges)
 
 
 @query("n03_snap")
 def n03_snap(spark, sf_dir):
-    edges = G.road_edges(spark, sf_dir).filter("src < 300 AND dst < 300").select("src", "dst")
+    edges = G.road_edges(spark, sf_dir).select("src", "dst")
     found = R.components(edges)
     size = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     nodes = found.join(size, "component").select("node", "size", G.key_lat(F.col("node")).alias("lat"), G.key_lon(F.col("node")).alias("lon"))
