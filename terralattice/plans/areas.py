@@ -220,7 +220,7 @@ def w03_in_range_count(spark, sf_dir):
     SELECT id FROM o WHERE coalesce(subtype = 'O', false) OR (coalesce(class IN ('5-LOW', '1-URGENT'), false) AND span >= 25e-2)""",
 )
 def f21_generalised_water(spark, sf_dir):
-    o = G.table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0")
+    o = G.table(spark, sf_dir, "orders")
     span = (F.col("o_orderkey") % 9).cast("double") / F.lit(20.0)
     open_water = F.coalesce(F.col("o_orderstatus") == "O", F.lit(False))
     wide = F.coalesce(F.col("o_orderpriority").isin("5-LOW", "1-URGENT"), F.lit(False)) & (span >= 0.25)
