@@ -74,18 +74,35 @@ def costs(edges: DataFrame, mode: str, class_speed: dict[str, float] | None = No
     return both.groupBy("src", "dst").agg(F.min("seconds").alias("seconds"))
 
 
-def reachable(directed: DataFrame, sources: DataFrame, seconds: float, hops: int) -> DataFrame:
-    """origin, node, seconds of everything within a budget in at most ``hops`` edges: a relaxation per hop, pruned by the running least."""
-    best = sources.select("origin", "node", F.lit(0.0).alias("seconds"))
+def _checkpoint_dir(spark) -> None:
+    if not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terralattice-cp-"))
+
+
+def reachable(directed: DataFrame, sources: DataFrame, seconds: float) -> DataFrame:
+    """origin, node, seconds of everything within a budget: relaxations of the nodes that got cheaper, until none does.
+
+    Lineage is cut with checkpoint(), which survives lost executors.
+    """
+    _checkpoint_dir(directed.sparkSession)
+    directed = directed.checkpoint()
+    best = sources.select("origin", "node", F.lit(0.0).alias("seconds")).distinct().checkpoint()
     front = best
-    for _ in range(hops):
+    while not front.isEmpty():
         step = (
             front.join(directed.withColumnRenamed("seconds", "w"), F.col("node") == F.col("src"))
             .select("origin", F.col("dst").alias("node"), (F.col("seconds") + F.col("w")).alias("seconds"))
             .filter(F.col("seconds") <= seconds)
         )
-        front = step.groupBy("origin", "node").agg(F.min("seconds").alias("seconds"))
-        best = best.unionAll(front).groupBy("origin", "node").agg(F.min("seconds").alias("seconds"))
+        offered = step.groupBy("origin", "node").agg(F.min("seconds").alias("offer"))
+        fresh = (
+            best.join(offered, ["origin", "node"], "full")
+            .select("origin", "node", F.least("seconds", "offer").alias("seconds"), (F.col("seconds").isNull() | (F.col("offer") < F.col("seconds"))).alias("_better"))
+            .checkpoint()
+        )
+        best, front = fresh.drop("_better"), fresh.filter("_better").drop("_better")
     return best
 
 
@@ -96,12 +113,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     labels = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("component")).withColumnRenamed("src", "node")
-    spark, own = edges.sparkSession, None
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        own = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terralattice-cp-")
-        spark.sparkContext.setCheckpointDir(own)
+    _checkpoint_dir(edges.sparkSession)
     labels = labels.checkpoint()
     while True:
         offered = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("offer"))
@@ -170,11 +182,13 @@ def path_to(before: dict, target) -> list:
 def one_to_many(directed: DataFrame, pairs: DataFrame, budget: float = math.inf, max_edges: int = 2_000_000) -> DataFrame:
     """origin, destination, seconds (null if unroutable): a search per origin on a subgraph of checked size, spread over tasks.
 
-    The subgraph is broadcast only after its edges are counted; a larger one raises, and ``reachable`` is the way for it.
+    The subgraph is broadcast only after its edges are counted; a larger one is searched by ``reachable``.
     """
     n = directed.count()
     if n > max_edges:
-        raise ValueError(f"{n} edges are more than {max_edges}; cut the graph to the trip's box or use reachable()")
+        origins = pairs.select("origin", F.col("origin").alias("node")).distinct()
+        found = reachable(directed, origins, budget).withColumnRenamed("node", "destination")
+        return pairs.join(found, ["origin", "destination"], "left").select("origin", "destination", "seconds")
     shared = directed.sparkSession.sparkContext.broadcast(adjacency_of(directed.select("src", "dst", "seconds").toLocalIterator()))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

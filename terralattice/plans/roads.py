@@ -41,7 +41,7 @@ def n02_edge_costs(spark, sf_dir):
 def n05_reachable_within(spark, sf_dir):
     directed = R.costs(G.road_edges(spark, sf_dir), "drive", _SPEED)
     start = spark.range(7, 8).select(F.col("id").alias("origin"), F.col("id").alias("node"))
-    found = R.reachable(directed, start, 6.0, 4)
+    found = R.reachable(directed, start, 6.0)
     return found.select("origin", "node", F.round("seconds", 6).alias("seconds"))
 
 
@@ -92,7 +92,7 @@ cells AS (SELECT DISTINCT CAST(floor({sql_lon('node')} * (111320e0 / 2000e0)) AS
 def _reached(spark, sf_dir):
     directed = R.costs(G.road_edges(spark, sf_dir), "drive", _SPEED)
     start = spark.range(7, 8).select(F.col("id").alias("origin"), F.col("id").alias("node"))
-    return R.reachable(directed, start, 5.0, 3).select(G.key_lat(F.col("node")).alias("lat"), G.key_lon(F.col("node")).alias("lon"))
+    return R.reachable(directed, start, 5.0).select(G.key_lat(F.col("node")).alias("lat"), G.key_lon(F.col("node")).alias("lon"))
 
 
 @query("n08_isochrone_cells", f"WITH RECURSIVE {_REACH} SELECT gx, gy FROM cells")

@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from terralattice import registry
+from terralattice.operators import graph
 
 DATA = "/root/testdata/sf0.001"
 
@@ -78,3 +79,22 @@ def test_lines_of_all_orders(spark, db, name):
         return
     want = registry.ORACLES[name].replace(" WHERE o_orderkey % 10 = 0", "")
     assert "% 10 = 0" not in want and rows(got) == rows(db.execute(want).df())
+
+
+def test_reachable_has_no_limit_of_edges(spark):
+    # A straight way of 9 s, and 20 edges that take 2 s in all.
+    edges = [(0, 20, 9.0)] + [(i, i + 1, 0.1) for i in range(20)]
+    directed = spark.createDataFrame(edges, "src long, dst long, seconds double")
+    start = spark.range(1).selectExpr("id AS origin", "id AS node")
+    got = {r["node"]: round(r["seconds"], 6) for r in graph.reachable(directed, start, 10.0).collect()}
+    assert got == {i: round(i / 10, 6) for i in range(21)}
+    pairs = spark.createDataFrame([(0, 0), (0, 20), (20, 0)], "origin long, destination long")
+    got = {(r[0], r[1]): r[2] and round(r[2], 6) for r in graph.one_to_many(directed, pairs, max_edges=5).collect()}
+    assert got == {(0, 0): 0.0, (0, 20): 2.0, (20, 0): None}
+
+
+def test_reachable_within_matches_dijkstra(spark):
+    directed = registry.QUERIES["n02_edge_costs"](spark, DATA).collect()
+    best, _ = graph.shortest(graph.adjacency_of(directed), 7, 6.0)
+    got = {r["node"]: r["seconds"] for r in registry.QUERIES["n05_reachable_within"](spark, DATA).collect()}
+    assert got.keys() == best.keys() and all(abs(got[n] - best[n]) < 1e-5 for n in best)
