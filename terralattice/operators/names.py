@@ -29,13 +29,14 @@ def by_alternate(df: DataFrame, alternates: DataFrame, queries: DataFrame) -> Da
 def tiered(df: DataFrame, queries: DataFrame, per_query: int = 50) -> DataFrame:
     """query, id, tier: exact 3, prefix 2, substring 1 on folded names.
 
-    Queries are a stated set; names meet them through the tokens they share, so there is no cross join: a match of any tier holds the
-    query's first word as part of one of its own words.
+    Queries are a stated set; names meet them through the grams they share, so there is no cross join: a match of any tier holds the
+    query's first three characters, or the whole of a shorter query.
     """
     folded = df.withColumn("_name", X.fold(F.col("name")))
     asked = queries.withColumn("_q", X.fold(F.col("query")))
+    starts = lambda c: F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
     grams = lambda c: F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3)))
+        F.flatten(F.transform(starts(c), lambda i: F.array(*(F.substr(c, i, F.lit(n)) for n in (1, 2, 3)))))
     )
     left = folded.withColumn("_g", F.explode(grams(F.col("_name"))))
     right = asked.withColumn("_g", F.substr(F.col("_q"), F.lit(1), F.lit(3)))
@@ -46,15 +47,9 @@ def tiered(df: DataFrame, queries: DataFrame, per_query: int = 50) -> DataFrame:
 
 
 def fuzzy(names: DataFrame, queries: DataFrame, threshold: float = X.FUZZY_THRESHOLD) -> DataFrame:
-    """query, name, similarity of distinct names; candidates share their first or last letter or length class with the query."""
-    distinct = names.select("name").distinct()
-    keys = lambda c: F.array_distinct(
-        F.array(F.substr(X.fold(c), F.lit(1), F.lit(1)), F.concat(F.lit("$"), F.substr(X.fold(c), F.length(c), F.lit(1))))
-    )
-    a = distinct.withColumn("_k", F.explode(keys(F.col("name"))))
-    b = queries.select("query").withColumn("_k", F.explode(keys(F.col("query"))))
-    pairs = a.join(b, "_k").select("query", "name").distinct()
-    return pairs.withColumn("similarity", X.jaro_winkler(X.fold(F.col("name")), X.fold(F.col("query")))).filter(
+    """query, name, similarity of distinct names; the stated set of queries is compared with every name."""
+    pairs = names.select("name").distinct().crossJoin(F.broadcast(queries.select("query").distinct()))
+    return pairs.select("query", "name").withColumn("similarity", X.jaro_winkler(X.fold(F.col("name")), X.fold(F.col("query")))).filter(
         F.col("similarity") >= threshold
     )
 

@@ -61,7 +61,7 @@ def j01_alt_name_lookup(spark, sf_dir):
     SELECT query, id, tier, CAST(row_number() OVER (PARTITION BY query ORDER BY tier DESC, population DESC, id) AS INTEGER) AS rank FROM t WHERE tier IS NOT NULL""",
 )
 def t02_geocode_rank(spark, sf_dir):
-    asked = spark.createDataFrame([("zurich",), ("plain 4",), ("sao",), ("lodz",)], "query string")
+    asked = spark.createDataFrame([("zurich",), ("plain 4",), ("sao",), ("lodz",), ("4",)], "query string")
     return N.tiered(_divisions(spark, sf_dir), asked).filter(X.fold(F.col("name")) != "").dropDuplicates(["query", "id"]).select(
         "query", "id", "tier", "rank"
     )

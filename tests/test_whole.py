@@ -9,6 +9,7 @@ import pytest
 
 from terralattice import registry
 from terralattice.operators import graph
+from terralattice.operators import names as names_operators
 
 DATA = "/root/testdata/sf0.001"
 
@@ -98,3 +99,18 @@ def test_reachable_within_matches_dijkstra(spark):
     best, _ = graph.shortest(graph.adjacency_of(directed), 7, 6.0)
     got = {r["node"]: r["seconds"] for r in registry.QUERIES["n05_reachable_within"](spark, DATA).collect()}
     assert got.keys() == best.keys() and all(abs(got[n] - best[n]) < 1e-5 for n in best)
+
+
+def test_fuzzy_finds_names_with_other_ends(spark):
+    name, query = "abcdefghijklmnopq", "xbcdefghijklmnopz"
+    names = spark.createDataFrame([(name,), ("other",)], "name string")
+    asked = spark.createDataFrame([(query,)], "query string")
+    got = names_operators.fuzzy(names, asked, 0.92 - 1e-9).collect()
+    assert [(r["query"], r["name"]) for r in got] == [(query, name)]
+
+
+def test_tiers_of_short_queries(spark):
+    names = spark.createDataFrame([(1, "東京都", 5), (2, "Plain 4", 3), (3, "大東京", 1)], "id long, name string, population long")
+    asked = spark.createDataFrame([("東京",), ("4",), ("lai",)], "query string")
+    got = {(r["query"], r["id"], r["tier"]) for r in names_operators.tiered(names, asked).collect()}
+    assert got == {("東京", 1, 2), ("東京", 3, 1), ("4", 2, 1), ("lai", 2, 1)}
