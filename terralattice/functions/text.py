@@ -177,8 +177,12 @@ STREET_WORDS = {
 }
 
 
+#: The survey's cap on the spellings of one street (the reference's value).
+STREET_CAP = 24
+
+
 def street_variants(c: Column) -> Column:
-    """The text itself and every spelling with one word swapped for its short or long form, distinct and sorted."""
+    """The text itself and every choice of short and long forms of its words, distinct and sorted; the first 24 of the product."""
     words = F.split(F.lower(F.trim(c)), r"\s+")
     there = {k: [v] for k, v in STREET_WORDS.items()}
     for long, short in STREET_WORDS.items():
@@ -186,17 +190,14 @@ def street_variants(c: Column) -> Column:
     table = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in there.items() for x in kv))
     empty = F.array().cast("array<string>")
 
-    def swapped(i: Column) -> Column:
-        alternatives = F.coalesce(F.try_element_at(table, F.get(words, i)), empty)
-        return F.transform(
-            alternatives,
-            lambda a: F.array_join(
-                F.concat(F.slice(words, F.lit(1), i), F.array(a), F.slice(words, i + 2, F.size(words))), " "
-            ),
-        )
-
-    every = F.flatten(F.transform(F.sequence(F.lit(0), F.size(words) - 1), swapped))
-    return F.array_sort(F.array_distinct(F.concat(F.array(F.array_join(words, " ")), every)))
+    def longer(heads: Column, word: Column) -> Column:
+        choices = F.concat(F.array(word), F.coalesce(F.try_element_at(table, word), empty))
+        grown = F.flatten(F.transform(heads, lambda h: F.transform(choices, lambda w: F.concat_ws(" ", h, w))))
+        # The text itself is always the first.
+        return F.slice(grown, 1, STREET_CAP)
+
+    heads = F.array(F.lit(None).cast("string"))
+    return F.array_sort(F.array_distinct(F.aggregate(words, heads, longer)))
 
 
 POSTCODE_SHAPES = (r"^\d{5}(-\d{4})?$", r"^[A-Z]\d[A-Z] ?\d[A-Z]\d$", r"^[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2}$", r"^\d{4}$", r"^\d{3} ?\d{2}$")

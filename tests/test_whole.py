@@ -114,3 +114,12 @@ def test_tiers_of_short_queries(spark):
     asked = spark.createDataFrame([("東京",), ("4",), ("lai",)], "query string")
     got = {(r["query"], r["id"], r["tier"]) for r in names_operators.tiered(names, asked).collect()}
     assert got == {("東京", 1, 2), ("東京", 3, 1), ("4", 2, 1), ("lai", 2, 1)}
+
+
+def test_streets_of_all_customers_take_the_product(spark):
+    got = {r["id"]: r["spellings"] for r in registry.QUERIES["e09_street_variants"](spark, DATA).collect()}
+    assert set(got) == set(column("customer", "c_custkey"))
+    assert set(got.values()) == {
+        "5th main st|5th main street|fifth main st|fifth main street",
+        "n oak lane|n oak ln|north oak lane|north oak ln",
+    }
