@@ -5,9 +5,9 @@
    make one global BM25 weighting, whose size is bounded by the vocabulary.
 3. Documents are range-partitioned into shards by a lexical key (the smallest hash among their rarer tokens) and id, so that
    documents that share rare tokens tend to meet, and a key that many share is spread over shards.
-4. A shard holds its own inverted index.  The first unused document is a seed; its strongest terms are looked up, and its
-   unused neighbours fill the window from the best score down.  What is cut off at the window's end seeds the next window.
-   When no neighbour is left, the next unused document follows, so only a shard's last sequence is padded.
+4. A shard holds its own index; other shards are not searched.  The first unused document is a seed; the shard's documents are
+   scored over all its terms, and its unused neighbours fill the window from the best score down.  What is cut off at the
+   window's end seeds the next window.  When no neighbour is left, the next unused document follows, so only a shard's last sequence is padded.
 
 Null and empty texts are the end id alone.  Documents without an id and repeated rows are packed like any other.  No
 rows give no sequences.
@@ -31,7 +31,6 @@ from terralattice.llm._common import Stored, mix64, release_shuffles, small_batc
 
 LENGTH, END_ID = 2048, 1
 SHARD_TOKENS = 2_000_000
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 #: Byte-pair ids are numbered from common to rare merges; ids from here on make the lexical key.
 RARE_FROM = 3000
@@ -128,19 +127,14 @@ class Index:
         damp = K1 * (1 - B + B * lengths[owners] / max(mean_length, 1.0)) if docs else counts
         weights = self.idf[terms] * counts * (K1 + 1) / (counts + damp) if docs else counts
         self.forward = np.concatenate(([0], np.cumsum(np.bincount(owners, minlength=len(docs))))).astype(np.int64)
-        self.terms, self.weights = terms, weights
-        order = np.argsort(terms, kind="stable")
-        self.sorted_terms, self.posted, self.posted_weight = terms[order], owners[order], weights[order].astype(np.float32)
+        self.terms, self.weights = terms, weights.astype(np.float32)
 
     def neighbours(self, doc: int) -> np.ndarray:
-        """Unused documents that share a strong term with ``doc``, best first, ties in shard order."""
-        own = slice(self.forward[doc], self.forward[doc + 1])
-        weights = self.weights[own]
-        strongest = self.terms[own][np.argsort(-weights, kind="stable")[:QUERY_TERMS]]
-        scores = np.zeros(len(self.used), np.float32)
-        left, right = np.searchsorted(self.sorted_terms, strongest, "left"), np.searchsorted(self.sorted_terms, strongest, "right")
-        for a, b in zip(left.tolist(), right.tolist()):
-            scores[self.posted[a:b]] += self.posted_weight[a:b]
+        """Unused documents that share a term with ``doc``, best first, ties in shard order."""
+        asked = np.zeros(len(self.idf), np.float32)
+        asked[self.terms[self.forward[doc] : self.forward[doc + 1]]] = 1
+        # Every document holds a term at least, its end id, so no stretch is empty.
+        scores = np.add.reduceat(self.weights * asked[self.terms], self.forward[:-1])
         scores[self.used] = 0
         found = np.flatnonzero(scores > 0)
         return found[np.argsort(-scores[found], kind="stable")]

@@ -249,6 +249,27 @@ def test_neighbours_share_windows():
     assert all(len(set(g)) == 1 for g in groups.values())
 
 
+def test_neighbours_are_scored_over_all_terms():
+    rng = np.random.default_rng(4)
+    # Only the last document shares terms with the seed, and just the common ones of its sixty.
+    docs = [np.arange(60), *(np.arange(100 + 40 * i, 140 + 40 * i) for i in range(4)), np.arange(40, 60)]
+    idf = np.linspace(9, 1, 400)
+    index = packing.Index(docs, idf, 30.0)
+    index.used[0] = True
+    assert index.neighbours(0).tolist() == [5]
+    docs = [rng.integers(0, 400, rng.integers(50, 200)) for _ in range(40)]
+    index, mean = packing.Index(docs, idf, 120.0), 120.0
+    want = []
+    for d in docs:
+        damp = packing.K1 * (1 - packing.B + packing.B * len(d) / mean)
+        counts = collections.Counter(d.tolist())
+        want.append(sum(idf[t] * counts[t] * (packing.K1 + 1) / (counts[t] + damp) for t in sorted(set(docs[7].tolist())) if t in counts))
+    index.used[7] = True
+    got = index.neighbours(7)
+    assert sorted(got.tolist()) == [i for i in range(40) if i != 7]
+    assert np.all(np.diff(np.array(want)[got]) < 1e-2)
+
+
 def test_packing_of_nothing(empty):
     assert packing.pack(empty).collect() == []
 
