@@ -5,34 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralattice.llm._common import Stored, release_shuffles
+from terralattice.llm._common import Stored, apart, release_shuffles
 
 
-def _lowest(directed: DataFrame) -> Stored:
-    """u, m: the smallest of u's neighbours and itself.  Stored, so that the join after it can split a hot u."""
-    return Stored(directed.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "lowest")
+def _with_lowest(directed: DataFrame) -> DataFrame:
+    """u, v, m: m is the smallest of u's neighbours and u itself.  A hot u is pre-aggregated, and split in the join."""
+    lowest = directed.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+    return directed.join(lowest.select(apart(F.col("u")).alias("u"), "m"), "u")
 
 
-def _star(directed: DataFrame, keep) -> Stored:
-    lowest = _lowest(directed)
-    linked = directed.join(lowest.df, "u")
-    out = Stored(keep(linked).filter("u <> v").distinct(), "star")
-    lowest.drop()
-    return out
-
-
-def _large(edges: DataFrame) -> Stored:
+def _large(edges: DataFrame) -> DataFrame:
+    """Each larger neighbour of a node goes to the smallest of the node's neighbourhood."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _star(both, lambda d: d.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+    return _with_lowest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
-def _small(edges: DataFrame) -> Stored:
+def _small(edges: DataFrame) -> DataFrame:
+    """Each smaller neighbour of a node, and the node itself, go to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    # Each smaller neighbour and u itself go to the smallest of them.
-    return _star(
-        down,
-        lambda d: d.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")),
-    )
+    return _with_lowest(down).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -46,16 +37,13 @@ def connected_components(edges: DataFrame) -> Stored:
     ``edges`` has columns u and v.  The steps end when a round leaves the edges as they are; then every
     component is a star around its smallest node.  Nothing but two counters comes to the driver.
     """
-    spark = edges.sparkSession
     now = Stored(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     state = _state(now.df)
     while state[0]:
-        large = _large(now.df)
-        small = _small(large.df)
-        large.drop()
+        following = Stored(_small(_large(now.df)), "star")
         now.drop()
-        before, now, state = state, small, _state(small.df)
-        release_shuffles(spark)
+        before, now, state = state, following, _state(following.df)
+        release_shuffles(edges.sparkSession)
         if state == before:
             break
     return now

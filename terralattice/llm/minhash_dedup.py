@@ -7,16 +7,20 @@ bucket.  Candidates come from buckets without making all pairs:
 1. every class pairs with the smallest class of each of its buckets;
 2. pairs whose signatures cannot belong to similar sets fall out, the others are confirmed on their full sets;
 3. large-star and small-star steps give components;
-4. in buckets that still hold several components, the classes outside the bucket's most common component are looked up in inverted
-   indexes of the bucket's members, block by block; only links come out, never pairs.  Then 3 again.
+4. in buckets that still hold several components, the classes outside the bucket's most common component are compared with the
+   bucket's members, block by block: first by signatures alone, which marks the classes that have a plausible partner in another
+   component; only the marked ones' texts are then sent to blocks and compared on full sets.  Only links come out, never pairs.
+   Then 3 again.
 
 After step 4 every two classes that share a bucket are in one component or were compared, so a
 bucket's members lose no link, whatever the bucket's size.  With 32 bands of 4 rows, two sets of similarity 0.8 share no
-bucket with a probability of 5e-8.
+bucket with a probability of 5e-8.  Step 4's signatures still meet block by block, so its work grows with a bucket's members times
+those outside its main component.
 
-Null and empty texts have the empty set, which is linked with nothing.  Documents without an id are linked with nothing
-and have no component.  Rows that repeat an id are one node of the graph.  Extra columns pass through
-``mark_duplicates``.
+Null and empty texts have the empty set, which is linked with nothing.  Very long texts are hashed in windows; what stays in memory is their
+set, eight bytes a shingle.  Documents without an id are linked with nothing and have no component.  Rows that repeat an id are one node
+of the graph; equal texts are one class.  An empty table gives no rows.  Extra columns pass through ``drop_near_duplicates``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,18 +28,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralattice.llm._common import Stored, mix64, release_shuffles, small_batches, texts_of
+from terralattice.llm._common import Stored, apart, column, free_prefix, mix64, prepare, release_shuffles, texts_of
 from terralattice.llm.components import connected_components
 from terralattice.llm.shingles import shingle_set
 
 BANDS, ROWS = 32, 4
 #: Standard deviations of the signature's estimate that a refuted pair lies below the threshold.
 MARGIN = 6.5
-#: Rows of a bucket that one task compares with as many others.
-BLOCK = 256
+#: Rows of a bucket whose signatures are compared with as many others at once, and shingles of the texts that are.
+SIGNED, SHINGLES = 4096, 1 << 19
 
 
 def _hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,49 +123,113 @@ def _similar_sets(words: int, percent: int):
             for zx, zy in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if zx != last:
                     last, x_set = zx, shingle_set(unpack(zx), words)
-                y_set = shingle_set(unpack(zy), words)
-                low, high = sorted((len(x_set), len(y_set)))
-                if 100 * low < percent * high:
-                    keep.append(False)
-                    continue
-                joint = np.sort(np.concatenate((x_set, y_set)))
-                common = int((joint[1:] == joint[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x_set) + len(y_set) - common))
+                keep.append(similar(x_set, shingle_set(unpack(zy), words), percent))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
 
     return run
 
 
-def _links(words: int, percent: int):
+def _runs(names: list[str]):
+    """Batches of rows sorted by ``names`` as one table per run of equal values."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in names])
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for first, end in zip(cuts, cuts[1:]):
+                key = tuple(keys[first])
+                if held and key != last:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(first, end - first))
+                last = key
+        if held:
+            yield pa.Table.from_batches(held)
+
+    return run
+
+
+class _Block:
+    """A block of a bucket: members, and rows outside the main component that are compared with them."""
+
+    def __init__(self, rows: pa.Table, percent: int, least_equal: int):
+        self.percent, self.least_equal = percent, least_equal
+        self.rep, self.comp, outer, self.n = (rows.column(c).to_numpy() for c in ("rep", "comp", "outer", "n"))
+        self.signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(len(self.rep), -1)
+        self.members, self.outer = np.flatnonzero(~outer), np.flatnonzero(outer)
+
+    def plausible(self):
+        """For each outer row the members of other components whose signatures may belong to a similar set, likeliest first."""
+        sizes, comps, signatures = self.n[self.members], self.comp[self.members], self.signature[self.members]
+        for i in self.outer:
+            near = 100 * np.minimum(sizes, self.n[i]) >= self.percent * np.maximum(sizes, self.n[i])
+            at = np.flatnonzero(near & (comps != self.comp[i]))
+            if len(at):
+                equal = (signatures[at] == self.signature[i]).sum(1)
+                keep = equal >= self.least_equal
+                if keep.any():
+                    yield i, self.members[at[keep][np.argsort(-equal[keep], kind="stable")]]
+
+
+def _marked(percent: int, least_equal: int):
+    """bucket, rep of all rows of a block that have a plausible partner."""
+
+    def run(batches):
+        for rows in _runs(["bucket", "i", "o"])(batches):
+            block, found = _Block(rows, percent, least_equal), set()
+            for i, partners in block.plausible():
+                found.add(int(block.rep[i]))
+                found.update(block.rep[partners].tolist())
+            if found:
+                bucket = rows.column("bucket")[0].as_py()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([bucket] * len(found), pa.int64()), pa.array(sorted(found), pa.int64())], names=["bucket", "rep"]
+                )
+
+    return run
+
+
+def _links(words: int, percent: int, least_equal: int):
     """For a block of a bucket: a link from each outer row to each other component that holds a similar member."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
-        rep, comp, outer = (table.column(c).to_numpy() for c in ("rep", "comp", "outer"))
-        packed = table.column("packed")
-        members = np.flatnonzero(~outer)
-        sets = [shingle_set(unpack(packed[int(i)].as_py()), words) for i in members]
-        sizes = np.array([len(s) for s in sets], np.int64)
-        hashes = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-        order = np.argsort(hashes, kind="stable")
-        hashes, owners = hashes[order], np.repeat(np.arange(len(members)), sizes)[order]
-        links = []
-        for i in np.flatnonzero(outer):
-            own = shingle_set(unpack(packed[int(i)].as_py()), words)
-            left, right = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
-            n = right - left
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left, n)
-            common = np.bincount(owners[at], minlength=len(members))
-            near = 100 * common >= percent * (len(own) + sizes - common)
-            found = {int(comp[m]): int(rep[m]) for m in members[near] if comp[m] != comp[i]}
-            links += [(int(rep[i]), other) for other in found.values()]
-        u, v = zip(*links) if links else ((), ())
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        for rows in _runs(["bucket", "i", "o"])(batches):
+            block, packed, sets = _Block(rows, percent, least_equal), rows.column("packed"), {}
+
+            def of(i, sets=sets, packed=packed):
+                if i not in sets:
+                    sets[i] = shingle_set(unpack(packed[int(i)].as_py()), words)
+                return sets[i]
+
+            links = []
+            for i, partners in block.plausible():
+                linked = set()
+                for m in partners:
+                    if block.comp[m] not in linked and similar(of(i), of(m), percent):
+                        linked.add(block.comp[m])
+                        links.append((int(block.rep[i]), int(block.rep[m])))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["u", "v"])
 
     return run
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 times the sets' intersection is at least ``percent`` times their union."""
+    low, high = sorted((len(x), len(y)))
+    if 100 * low < percent * high:
+        return False
+    joint = np.sort(np.concatenate((x, y)))
+    common = int((joint[1:] == joint[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _packed(batches):
     pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
@@ -175,13 +243,11 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, words: int, percent: int, bands: int, rows: int, text: str, doc_id: str):
         spark = docs.sparkSession
-        small_batches(spark, 256)
+        prepare(spark)
         self.spark, self.words, self.percent = spark, words, percent
         j = percent / 100
         self.least_equal = int(bands * rows * j - MARGIN * (bands * rows * j * (1 - j)) ** 0.5)
-        texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(
-            F.col("doc_id").isNotNull()
-        )
+        texts = docs.select(column(doc_id).cast("long").alias("doc_id"), column(text).alias("text")).filter("doc_id IS NOT NULL")
         signed = Stored(
             texts.mapInArrow(
                 _signatures(words, bands, rows),
@@ -189,17 +255,16 @@ class NearDuplicates:
             ),
             "signed",
         )
-        filled = signed.df.filter("n > 0")
         classes = Stored(
-            filled.groupBy("set_a", "set_b", "n").agg(
-                F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets"), F.first("signature").alias("signature")
-            ),
+            signed.df.filter("n > 0")
+            .groupBy("set_a", "set_b", "n")
+            .agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets"), F.first("signature").alias("signature")),
             "classes",
         )
         self.signatures = classes.df.select("rep", "n", "signature")
         shared = self._shared(classes.df.select("rep", F.explode("buckets").alias("bucket")))
         packed = Stored(
-            texts.join(shared.df.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+            texts.join(shared.df.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
             .select("doc_id", "text")
             .mapInArrow(_packed, "id long, packed binary"),
             "packed",
@@ -207,128 +272,131 @@ class NearDuplicates:
         self.packed = packed.df
         release_shuffles(spark)
 
-        first = Stored(
-            shared.df.filter("rep <> pivot").select(F.col("pivot").alias("x"), F.col("rep").alias("y")).distinct(), "pairs"
-        )
-        edges = self._confirmed(first.df)
-        stars = connected_components(edges.df)
-        edges.drop()
+        first = shared.df.filter("rep <> pivot").select(F.col("pivot").alias("x"), F.col("rep").alias("y")).distinct()
+        stars = connected_components(self._confirmed(first))
         more = self._stragglers(shared.df, stars.df)
-        if not more.df.isEmpty():
+        if more is not None:
             wider = connected_components(stars.df.unionAll(more.df))
-            stars.drop()
+            for old in (stars, more):
+                old.drop()
             stars = wider
-        for table in (more, first, packed, shared):
-            table.drop()
+        for old in (packed, shared):
+            old.drop()
         release_shuffles(spark)
 
-        # doc_id -> class -> component; each side of a join is stored or scanned, so that hot classes can be split.
-        labels = Stored(
+        # doc_id -> class -> component; neither join keeps an aggregate's partitioning, so that hot classes can be split.
+        labels = (
             classes.df.select("set_a", "set_b", "n", "rep")
             .join(stars.df.select(F.col("u").alias("rep"), F.col("v").alias("to")), "rep", "left")
-            .select("set_a", "set_b", "n", F.coalesce("to", "rep").alias("component_id")),
-            "labels",
+            .select("set_a", "set_b", "n", F.coalesce("to", "rep").alias("component_id"))
         )
-        stars.drop()
-        of = signed.df.select("doc_id", "n", "set_a", "set_b").join(labels.df, ["set_a", "set_b", "n"], "left")
+        of = signed.df.select("doc_id", "n", "set_a", "set_b").join(labels, ["set_a", "set_b", "n"], "left")
         self.members = of.select(
             "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
         )
 
     def _shared(self, rows: DataFrame) -> Stored:
         """bucket, rep, pivot of the buckets that hold several classes."""
-        pivots = Stored(
-            rows.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot < last").drop("last"),
-            "pivots",
-        )
-        out = Stored(rows.join(pivots.df, "bucket"), "shared")
-        pivots.drop()
-        return out
+        pivots = rows.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot < last")
+        return Stored(rows.join(pivots.select(apart(F.col("bucket")).alias("bucket"), "pivot"), "bucket"), "shared")
 
-    def _confirmed(self, pairs: DataFrame) -> Stored:
+    def _confirmed(self, pairs: DataFrame) -> DataFrame:
         """u, v of the pairs x, y that are similar."""
         side = lambda k: self.signatures.select(
             F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("signature").alias(f"s{k}")
         )
-        likely = Stored(
+        likely = (
             pairs.join(side("y"), "y")
             .join(side("x"), "x")
             .filter((100 * F.least("nx", "ny")) >= self.percent * F.greatest("nx", "ny"))
             .select("x", "y", "sx", "sy")
-            .mapInArrow(_similar_signatures(self.least_equal), "x long, y long"),
-            "likely",
+            .mapInArrow(_similar_signatures(self.least_equal), "x long, y long")
         )
         text = lambda k: self.packed.select(F.col("id").alias(k), F.col("packed").alias(f"z{k}"))
-        out = Stored(
-            likely.df.join(text("y"), "y")
+        return (
+            likely.join(text("y"), "y")
             .join(text("x"), "x")
             .select("x", "y", "zx", "zy")
-            .mapInArrow(_similar_sets(self.words, self.percent), "u long, v long"),
-            "confirmed",
+            .mapInArrow(_similar_sets(self.words, self.percent), "u long, v long")
         )
-        likely.drop()
-        release_shuffles(self.spark)
-        return out
-
-    def _stragglers(self, shared: DataFrame, stars: DataFrame) -> Stored:
-        """u, v: links across components within one bucket, found without making its pairs.
 
-        A bucket's members and those outside its main component are cut into blocks of at most about BLOCK rows; a task gets one block of
-        either and looks the ones up in an inverted index of the others.
-        """
+    def _stragglers(self, shared: DataFrame, stars: DataFrame) -> Stored | None:
+        """u, v: links across components within one bucket, found without making its pairs; None if there is none to look for."""
         placed = Stored(
             shared.join(stars.select(F.col("u").alias("rep"), F.col("v").alias("to")), "rep", "left").select(
                 "bucket", "rep", F.coalesce("to", "rep").alias("comp")
             ),
             "placed",
         )
-        per = Stored(
-            placed.df.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x")), "per"
-        )
+        per = placed.df.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"))
         # Two members were compared in the first round, and buckets of the same members need one look.
-        main = Stored(
-            per.df.groupBy("bucket")
+        main = (
+            per.groupBy("bucket")
             .agg(
                 F.max_by("comp", F.struct("n", "comp")).alias("main"),
                 F.count(F.lit(1)).alias("k"),
                 F.sum("n").alias("m"),
-                F.max("n").alias("in_main"),
                 F.bit_xor("x").alias("x"),
             )
             .filter("k > 1 AND m > 2")
             .groupBy("x", "m")
-            .agg(F.min_by(F.struct("bucket", "main", (F.col("m") - F.col("in_main")).alias("outside")), "bucket").alias("one"))
-            .select("one.*", "m"),
-            "main",
+            .agg(F.min(F.struct("bucket", "main")).alias("one"))
+            .select(apart(F.col("one.bucket")).alias("bucket"), "one.main")
         )
-        per.drop()
         mixed = Stored(
-            placed.df.join(main.df, "bucket").select(
-                "bucket",
-                "rep",
-                "comp",
-                (F.col("comp") != F.col("main")).alias("outer"),
-                F.ceil(F.col("m") / BLOCK).cast("int").alias("n_in"),
-                F.ceil(F.col("outside") / BLOCK).cast("int").alias("n_out"),
-            ),
+            placed.df.join(main, "bucket")
+            .select("bucket", "rep", "comp", (F.col("comp") != F.col("main")).alias("outer"))
+            .join(self.signatures, "rep"),
             "mixed",
         )
-        main.drop()
         placed.drop()
-        spread = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        members = mixed.df.select("bucket", "rep", "comp", F.lit(False).alias("outer"), spread("n_in").alias("i"), every("n_out").alias("o"))
-        outer = mixed.df.filter("outer").select(
-            "bucket", "rep", "comp", F.lit(True).alias("outer"), every("n_in").alias("i"), spread("n_out").alias("o")
+        marked = Stored(
+            _in_blocks(mixed.df, F.lit(1), SIGNED)
+            .mapInArrow(_marked(self.percent, self.least_equal), "bucket long, rep long")
+            .distinct(),
+            "marked",
         )
-        blocks = members.unionAll(outer).join(self.packed.withColumnRenamed("id", "rep"), "rep")
+        if marked.df.isEmpty():
+            for old in (marked, mixed):
+                old.drop()
+            return None
+        asked = Stored(mixed.df.join(marked.df, ["bucket", "rep"], "left_semi"), "asked")
+        for old in (marked, mixed):
+            old.drop()
         out = Stored(
-            blocks.groupBy("bucket", "i", "o").applyInArrow(_links(self.words, self.percent), "u long, v long").distinct(), "links"
+            _in_blocks(asked.df, F.col("n"), SHINGLES, self.packed.withColumnRenamed("id", "rep"))
+            .mapInArrow(_links(self.words, self.percent, self.least_equal), "u long, v long")
+            .distinct(),
+            "links",
         )
-        mixed.drop()
+        asked.drop()
         return out
 
 
+def _in_blocks(rows: DataFrame, weight: Column, most: int, beside: DataFrame | None = None) -> DataFrame:
+    """Rows of buckets dealt to blocks (i, o), sorted by bucket and block.
+
+    A bucket's members, and those outside its main component, are each cut into blocks of a weight of about ``most``; every
+    block of the ones meets every block of the others.
+    """
+    sizes = rows.groupBy("bucket").agg(
+        F.ceil(F.sum(weight) / most).cast("int").alias("n_in"),
+        F.ceil(F.sum(F.when(F.col("outer"), weight)) / most).cast("int").alias("n_out"),
+    )
+    cut = rows.join(sizes.filter("n_out > 0").select(apart(F.col("bucket")).alias("bucket"), "n_in", "n_out"), "bucket")
+    spread = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_member = F.transform(every("n_out"), lambda o: F.struct(F.lit(False).alias("outer"), spread("n_in").alias("i"), o.alias("o")))
+    as_outer = F.transform(every("n_in"), lambda i: F.struct(F.lit(True).alias("outer"), i.alias("i"), spread("n_out").alias("o")))
+    places = F.when(F.col("outer"), F.concat(as_member, as_outer)).otherwise(as_member)
+    dealt = cut.select("bucket", "rep", "comp", "n", "signature", F.explode(places).alias("at")).select(
+        "bucket", "rep", "comp", "n", "signature", "at.*"
+    )
+    if beside is not None:
+        dealt = dealt.join(beside, "rep")
+    return dealt.repartition("bucket", "i", "o").sortWithinPartitions("bucket", "i", "o")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -341,16 +409,17 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the component's smallest id) of every row."""
     run = NearDuplicates(docs, words, percent, bands, rows, text, doc_id)
-    nameless = docs.filter(F.col(doc_id).isNull()).select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")
+    nameless = docs.filter(column(doc_id).isNull()).select(
+        column(doc_id).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")
     )
     return run.members.unionAll(nameless).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that stand for their component; rows without an id stay."""
-    found = near_duplicates(docs, text=text, doc_id=doc_id, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_dup")).distinct()
-    return docs.join(found, docs[doc_id] == F.col("_dup"), "left_anti")
+    gone = f"{free_prefix(docs, ['gone'])}gone"
+    found = near_duplicates(docs, text=text, doc_id=doc_id, **options).filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(found.hint("shuffle_hash"), column(doc_id) == F.col(gone), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
