@@ -2,21 +2,25 @@
 
 Categories are predicted in order; the probability of every earlier category is a feature of the later
 models.  For training these probabilities come from folds that did not see the row (out of fold), so
-that a later model learns from the errors it will meet.
+that a later model learns from the errors it will meet.  The labels table of the contract query has no several kinds of toxicity: its
+chain goes from ``low_quality`` to ``toxic``.
 
-Fitting uses at most about ``train_docs`` labelled rows (the documented bound, picked by a hash of the id) and
-``max_features`` features, those that tell any category apart best.  Only that sample's labels are
+A word gives two features, itself and its first BEGINNING letters; features are hashed to WIDTH numbers, so every word of every text
+counts and the model's size is fixed.  A feature's value is the sum of log(1 + 100 n / total) over its words, n of the text's total.
+
+Fitting uses at most about ``train_docs`` labelled rows (the documented bound, picked by a hash of the id).  Only that sample's labels are
 broadcast.  Scoring reads every whole text and shuffles nothing.
 
-Null and empty texts have no features and score the models' base rates.  Label rows with a null in any category,
-or without an id, are left out; repeated label rows count as often as they stand.  Without labelled rows, or with one class
-only, a category's probability is its base rate (0 without rows) and nothing is flagged.  Extra columns pass through.
+Null and empty texts have no features and score the models' base rates.  Very long texts are read in pieces cut between words.  Label rows
+with a null in any category, or without an id, are left out; repeated label rows, and documents that repeat an id, count as often as they
+stand.  Without labelled rows, or with one class only, a category's probability is its base rate (0 without rows) and nothing is flagged.
+An empty table gives no rows.  Extra columns pass through; the results' names get more underscores if they are taken.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-import re
 import zlib
 from collections import Counter
 
@@ -26,67 +30,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terralattice.llm._common import salted_id_fraction, small_batches
+from terralattice.llm._common import column, columns, free_prefix, map_rows, prepare, salted_id_fraction
+from terralattice.llm.language_id import _WORD, pieces
 
-TRAIN_DOCS, MAX_FEATURES = 12_000, 4096
+TRAIN_DOCS, WIDTH = 8000, 1 << 18
 FOLDS = 3
-BEGINNINGS = (4, 5, 6)
-CACHE = 200_000
-_WORD = re.compile(r"[^\W\d_]+")
+BEGINNING = 5
+#: Words that a task remembers, and distinct words of texts that it scores at once.
+CACHE, AT_ONCE = 200_000, 200_000
 
 
-def features_of(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) > n)]
+def features_of(word: str) -> tuple[int, int]:
+    """The numbers of a word and of its beginning; WIDTH, which weighs nothing, where a word is no longer than a beginning."""
+    beginning = zlib.crc32(f"{word[:BEGINNING]}*".encode()) % WIDTH if len(word) > BEGINNING else WIDTH
+    return zlib.crc32(word.encode()) % WIDTH, beginning
 
 
-def _document_counts(batches):
-    """Documents that hold a feature, by feature and label pattern."""
+def word_values(text: str | None) -> tuple[list[str], np.ndarray]:
+    """A text's distinct words and their values."""
     counts: Counter = Counter()
-    for batch in batches:
-        for text, labels in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            pattern = tuple(labels)
-            found = {f for w in set(_WORD.findall((text or "").lower())) for f in features_of(w)}
-            counts.update((f, pattern) for f in found)
-    keys = list(counts)
-    for first in range(0, len(keys), 50_000):
-        part = keys[first : first + 50_000]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in part], pa.string()),
-                pa.array([list(k[1]) for k in part], pa.list_(pa.int32())),
-                pa.array([counts[k] for k in part], pa.int64()),
-            ],
-            names=["feature", "labels", "n"],
-        )
-
-
-class Vectoriser:
-    """Texts to sparse rows over the chosen features."""
-
-    def __init__(self, features: list[str]):
-        self.index = {f: i for i, f in enumerate(features)}
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def __getstate__(self):
-        return {"index": self.index}
-
-    def __setstate__(self, state):
-        self.index, self.cache = state["index"], {}
-
-    def row(self, text: str | None) -> dict[int, float]:
-        words = Counter(_WORD.findall(text.lower())) if text else {}
-        total, found, cache = 0, Counter(), self.cache
-        for word, n in words.items():
-            total += n
-            at = cache.get(word)
-            if at is None:
-                at = tuple(i for f in features_of(word) if (i := self.index.get(f)) is not None)
-                if len(cache) >= CACHE:
-                    cache.clear()
-                cache[word] = at
-            for i in at:
-                found[i] += n
-        return {i: math.log1p(100 * n / total) for i, n in found.items()}
+    for piece in pieces(text or ""):
+        counts.update(_WORD.findall(piece.lower()))
+    n = np.fromiter(counts.values(), float, len(counts))
+    return list(counts), np.log1p(100 * n / max(1.0, n.sum()))
 
 
 def _logistic(z: np.ndarray) -> np.ndarray:
@@ -123,16 +89,12 @@ class Linear:
         rows = np.repeat(np.arange(n), np.diff(indptr))
         return _logistic(np.bincount(rows, values * self.weights[indices], n) + extra @ self.dense + self.bias)
 
-    def of_row(self, row: dict[int, float], extra: list[float]) -> float:
-        z = self.bias + sum(self.weights[i] * v for i, v in row.items()) + float(np.dot(self.dense, extra))
-        return 1 / (1 + math.exp(-min(40.0, max(-40.0, z))))
-
 
 class Chain:
     """Categories in order, a final linear model and a threshold for each."""
 
-    def __init__(self, names: list[str], vectoriser: Vectoriser):
-        self.names, self.vectoriser, self.models, self.thresholds = names, vectoriser, [], []
+    def __init__(self, names: list[str]):
+        self.names, self.models, self.thresholds = names, [], []
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, fold: np.ndarray) -> Chain:
         """``rows``: feature numbers and values of each document."""
@@ -140,7 +102,6 @@ class Chain:
         indices = np.concatenate([np.empty(0, np.int32), *(at for at, _ in rows)]).astype(np.int64)
         values = np.concatenate([np.empty(0, np.float32), *(value for _, value in rows)]).astype(float)
         indptr = np.concatenate(([0], np.cumsum(lengths)))
-        size = len(self.vectoriser.index)
 
         def part(mask: np.ndarray):
             keep = np.repeat(mask, lengths)
@@ -151,16 +112,61 @@ class Chain:
             y, unseen = labels[:, j].astype(float), np.zeros(len(rows))
             for f in range(FOLDS):
                 train, test = fold != f, fold == f
-                unseen[test] = Linear(*part(train), extra[train], y[train], size).of_rows(*part(test), extra[test])
-            self.models.append(Linear(indptr, indices, values, extra, y, size))
+                unseen[test] = Linear(*part(train), extra[train], y[train], WIDTH).of_rows(*part(test), extra[test])
+            self.models.append(Linear(indptr, indices, values, extra, y, WIDTH))
             self.thresholds.append(best_threshold(unseen, y))
             extra = np.column_stack((extra, unseen))
         return self
 
-    def predict(self, text: str | None) -> list[float]:
-        row, out = self.vectoriser.row(text), []
-        for model in self.models:
-            out.append(model.of_row(row, out))
+
+class Scorer:
+    """Scores many texts at once; remembers what each word adds to every model's sum."""
+
+    def __init__(self, chain: Chain):
+        self.models = chain.models
+        self.weights = np.column_stack([np.append(m.weights, 0.0) for m in chain.models])
+        self.rows: dict[str, int] = {}
+        self.table = np.empty((0, len(chain.models)))
+
+    def _rows(self, flat: list[str]) -> np.ndarray:
+        if len(self.rows) > CACHE:
+            self.rows, self.table = {}, self.table[:0]
+        at = np.fromiter(map(self.rows.get, flat, itertools.repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            fresh = dict.fromkeys(flat[i] for i in missing)
+            numbers = np.array([features_of(w) for w in fresh], np.int64)
+            for word in fresh:
+                self.rows[word] = len(self.rows)
+            self.table = np.concatenate((self.table, self.weights[numbers[:, 0]] + self.weights[numbers[:, 1]]))
+            for i in missing:
+                at[i] = self.rows[flat[i]]
+        return at
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        """A row of probabilities for each text, in the chain's order."""
+        sums = np.zeros((len(texts), len(self.models)))
+        flat, values, starts, owners = [], [], [], []
+
+        def add():
+            at = self._rows(flat)
+            sums[owners] = np.add.reduceat(self.table[at] * np.concatenate(values)[:, None], starts)
+
+        for i, text in enumerate(texts):
+            words, value = word_values(text)
+            if words:
+                starts.append(len(flat))
+                owners.append(i)
+                flat += words
+                values.append(value)
+            if len(flat) >= AT_ONCE:
+                add()
+                flat, values, starts, owners = [], [], [], []
+        if flat:
+            add()
+        out = np.zeros_like(sums)
+        for j, model in enumerate(self.models):
+            out[:, j] = _logistic(sums[:, j] + out[:, :j] @ model.dense + model.bias)
         return out
 
 
@@ -177,6 +183,22 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[at] + (p[at + 1] if at + 1 < len(p) else 0.0)) / 2)
 
 
+def _vectors(batches):
+    for batch in batches:
+        at, values = [], []
+        for text in batch.column(1).to_pylist():
+            words, value = word_values(text)
+            numbers = np.array([features_of(w) for w in words], np.int32).reshape(-1, 2)
+            both = numbers.ravel()
+            real = both < WIDTH
+            at.append(both[real].tobytes())
+            values.append(np.repeat(value, 2)[real].astype(np.float32).tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).cast(pa.string()), batch.column(2), pa.array(at, pa.binary()), pa.array(values, pa.binary())],
+            names=["id", "labels", "at", "value"],
+        )
+
+
 def fit_chain(
     docs: DataFrame,
     labels: DataFrame,
@@ -185,85 +207,54 @@ def fit_chain(
     text: str = "text",
     doc_id: str = "doc_id",
     train_docs: int = TRAIN_DOCS,
-    max_features: int = MAX_FEATURES,
 ) -> Chain:
     """``categories``: name to a 0/1 expression over ``labels``, which shares ``doc_id``."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     known = labels.select(
-        F.col(doc_id).alias("id"), F.array(*(c.cast("int") for c in categories.values())).alias("labels")
+        column(doc_id).alias("id"), F.array(*(c.cast("int") for c in categories.values())).alias("labels")
     ).filter(F.col("id").isNotNull() & ~F.exists("labels", lambda x: x.isNull()))
-    total = known.count()
-    share = min(1.0, train_docs / max(1, total))
-    picked = known.filter(salted_id_fraction(F.col("id")) < share)
+    share = min(1.0, train_docs / max(1, known.count()))
     # Bounded by train_docs, so it may be broadcast whatever the tables' size.
-    sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id")
-    counted = (
-        sample.select("text", "labels")
-        .mapInArrow(_document_counts, "feature string, labels array<int>, n long")
-        .groupBy("feature")
-        .agg(
-            F.sum("n").alias("n"),
-            *(F.sum(F.col("n") * F.col("labels")[j]).alias(f"p{j}") for j in range(len(categories))),
-        )
-        .filter("n >= 3")
-    )
-    sizes = sample.agg(
-        F.count(F.lit(1)).alias("n"), *(F.sum(F.col("labels")[j]).alias(f"p{j}") for j in range(len(categories)))
-    ).first()
-    strength = F.lit(0.0)
-    for j in range(len(categories)):
-        p, n = F.col(f"p{j}"), F.col("n") - F.col(f"p{j}")
-        positive, negative = sizes[f"p{j}"] or 0, (sizes["n"] or 0) - (sizes[f"p{j}"] or 0)
-        lean = F.log((p + 0.5) / (positive + 1.0)) - F.log((n + 0.5) / (negative + 1.0))
-        strength = F.greatest(strength, F.abs(lean) / F.sqrt(1 / (p + 0.5) + 1 / (n + 0.5)))
-    chosen = counted.select("feature", strength.alias("z")).orderBy(F.desc("z"), "feature").limit(max_features)
-    vectoriser = Vectoriser(sorted(r["feature"] for r in chosen.collect()))
-    chain = Chain(list(categories), vectoriser)
-    shared = docs.sparkSession.sparkContext.broadcast(vectoriser)
-
-    def vectors(batches):
-        make = shared.value.row
-        for batch in batches:
-            rows = [make(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).cast(pa.string()),
-                    batch.column(2),
-                    pa.array([np.fromiter(r.keys(), np.int32, len(r)).tobytes() for r in rows], pa.binary()),
-                    pa.array([np.fromiter(r.values(), np.float32, len(r)).tobytes() for r in rows], pa.binary()),
-                ],
-                names=["id", "labels", "at", "value"],
-            )
-
-    found = sample.select("id", "text", "labels").mapInArrow(
-        vectors, "id string, labels array<int>, at binary, value binary"
-    ).collect()
-    found.sort(key=lambda r: (r["id"], r["at"], r["value"]))
+    picked = known.filter(salted_id_fraction(F.col("id")) < share)
+    sample = docs.select(column(doc_id).alias("id"), column(text).alias("text")).join(F.broadcast(picked), "id")
+    found = sample.select("id", "text", "labels").mapInArrow(_vectors, "id string, labels array<int>, at binary, value binary").collect()
+    found.sort(key=lambda r: (r["id"], r["at"], r["value"], r["labels"]))
     rows = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32)) for r in found]
     y = np.array([r["labels"] for r in found], int).reshape(len(found), len(categories))
     fold = np.array([zlib.crc32(r["id"].encode()) % FOLDS for r in found], int)
-    return chain.fit(rows, y, fold)
+    return Chain(list(categories)).fit(rows, y, fold)
+
+
+def names_of(chain: Chain) -> list[str]:
+    """The columns that come after a prefix: each category's probability, and whether it passes its threshold."""
+    return [f"{kind}_{c}" for kind in ("p", "is") for c in chain.names]
 
 
 def score(docs: DataFrame, chain: Chain, *, text: str = "text") -> DataFrame:
-    """``docs`` plus ``_p_<category>`` for every category and ``_is_<category>``, judged by the chain's thresholds."""
-    shared = docs.sparkSession.sparkContext.broadcast(chain)
-    small_batches(docs.sparkSession)
-    extra = [T.StructField(f"_p_{c}", T.DoubleType()) for c in chain.names]
+    """``docs`` and, after ``free_prefix(docs, names_of(chain))``, p_<category> and is_<category> for every category."""
+    spark = docs.sparkSession
+    prepare(spark)
+    shared = spark.sparkContext.broadcast(chain)
+    prefix = free_prefix(docs, names_of(chain))
+    extra = [T.StructField(f"{prefix}p_{c}", T.DoubleType()) for c in chain.names]
     schema = T.StructType([*docs.schema.fields, *extra])
     at_text, names = docs.columns.index(text), schema.names
 
     def run(batches):
-        predict = shared.value.predict
+        scorer = Scorer(shared.value)
         for batch in batches:
-            found = [predict(t) for t in batch.column(at_text).to_pylist()]
-            columns = [*batch.columns, *(pa.array([f[j] for f in found], pa.float64()) for j in range(len(extra)))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            found = scorer.score(batch.column(at_text).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in found.T)], names=names)
 
-    out = docs.mapInArrow(run, schema)
-    return out.withColumns(
-        {f"_is_{c}": F.col(f"_p_{c}") >= F.lit(t) for c, t in zip(chain.names, chain.thresholds)}
-    )
+    out = map_rows(docs, run, schema)
+    flags = {f"{prefix}is_{c}": F.col(f"{prefix}p_{c}") >= F.lit(t) for c, t in zip(chain.names, chain.thresholds)}
+    return out.withColumns(flags)
+
+
+def drop_flagged(docs: DataFrame, chain: Chain, category: str, *, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the chain does not put in a category, with their columns."""
+    prefix = free_prefix(docs, names_of(chain))
+    return score(docs, chain, text=text).filter(~F.col(f"{prefix}is_{category}")).select(*columns(docs))
 
 
 #: Expressions over the labels table, in the chain's order.
