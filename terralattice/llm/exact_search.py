@@ -1,22 +1,24 @@
 """Exact top-k search by inner product with multi-resolution segment statistics.
 
-Each vector x becomes integers floor(scale * x).  A vector is cut into 1, 2, 4, ... segments; with the
+Each vector x becomes integers floor(scale * x).  A vector is cut into 1, 2, 4, ... segments, down to four components each; with the
 segments' means and deviations, for a segment of length l
 
     |q - x|^2 >= l * ((mean_q - mean_x)^2 + (dev_q - dev_x)^2)
 
 so the sum over segments bounds a distance from below, and q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2 from
 above.  From coarse to fine, candidates whose bound cannot reach the query's current k-th best score
-fall out; survivors get the exact integer product.
+fall out and are not looked at again; survivors get the exact integer product.  A query starts with the k-th best score among a few
+rows of the table, which its true k-th best reaches for sure.
 
-Queries are taken in blocks of at most ``block_rows`` rows and ``block_bytes`` bytes; a block is
-broadcast (a bound whatever the input's size) and one pass goes over all rows, without a shuffle of
-vectors: each task keeps the best k per query, and those few rows are ranked together.
+Queries are taken in blocks of at most ``block_rows`` rows and ``block_bytes`` bytes, one at a time: a block is broadcast (a bound
+whatever the input's size) and one pass goes over all rows, without a shuffle of vectors; each task keeps the best k per query,
+and those few rows are ranked together and, if further blocks follow, stored before the next block is read.
 
 Vectors that are null, hold null or non-finite components, or have no id take no part.  Only vectors of a
-query's own length are its candidates.  Rows that repeat a query's id count as the query's own row; each
-repeated query row is answered under its id once (equal ids: the row with the smallest text hash).
-Empty vectors score 0.
+query's own length are its candidates, however long.  Rows that repeat a query's id count as the query's own row; repeated query rows are
+answered once (of equal ids, the vector with the smallest hash).  Ties go to the smaller id; rows that repeat a candidate's id are
+candidates each.  Empty vectors score 0.  Products beyond 64 bits are cut to the largest or smallest 64-bit number.  Empty tables of vectors
+or queries give no rows.  Extra columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -29,21 +31,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralattice.llm._common import small_batches
+from terralattice.llm._common import Stored, column, prepare
 
 SCALE, K = 1024, 10
 BLOCK_ROWS, BLOCK_BYTES = 4096, 16 << 20
+#: Rows of the table that give a block's first thresholds.
+SEED_ROWS = 1024
+#: Share of pairs alive from which on a level's bounds, or exact products, come from one matrix product.
+DENSE = 0.1
 _EXACT = float(1 << 53)
 _LONG = 1 << 63
+_FOUND = "query_id long, vec_id long, score long"
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     bad = F.exists(
-        F.col(embedding),
+        column(embedding),
         lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == F.lit(float("inf"))),
     )
-    return vectors.filter(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & ~bad).select(
-        F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("x")
+    return vectors.filter(column(vec_id).isNotNull() & column(embedding).isNotNull() & ~bad).select(
+        column(vec_id).alias("vec_id"), column(embedding).cast("array<double>").alias("x")
     )
 
 
@@ -53,18 +60,18 @@ class Side:
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
         self.norm = np.einsum("ij,ij->i", x, x)
+        self.largest = float(np.abs(x).max(initial=0))
         self.levels = []
         size, segments = x.shape[1], 1
-        while segments <= max(1, size // 4):
+        while size and segments <= max(1, size // 4):
             edges = np.linspace(0, size, segments + 1).astype(int)
             lengths = np.diff(edges).astype(float)
-            if (lengths > 0).all():
-                mean = np.add.reduceat(x, edges[:-1], axis=1) / lengths
-                square = np.add.reduceat(x * x, edges[:-1], axis=1) / lengths
-                dev = np.sqrt(np.maximum(square - mean * mean, 0.0))
-                weight = np.sqrt(lengths)
-                self.levels.append(np.concatenate((mean * weight, dev * weight), axis=1))
-            segments *= 4
+            mean = np.add.reduceat(x, edges[:-1], axis=1) / lengths
+            square = np.add.reduceat(x * x, edges[:-1], axis=1) / lengths
+            dev = np.sqrt(np.maximum(square - mean * mean, 0.0))
+            weight = np.sqrt(lengths)
+            self.levels.append(np.concatenate((mean * weight, dev * weight), axis=1))
+            segments *= 2
 
 
 def sides(ids: list[int], vectors: list[np.ndarray], scale: int) -> dict[int, Side]:
@@ -77,13 +84,19 @@ def sides(ids: list[int], vectors: list[np.ndarray], scale: int) -> dict[int, Si
     }
 
 
-def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer products: in floats while they are exact, else in Python's integers, cut to 64 bits."""
-    reach = (np.abs(q).max(initial=0) * np.abs(x).max(initial=0)) * max(1, x.shape[1])
-    if reach < _EXACT:
-        return (x @ q).astype(np.int64)
-    q_ints = [int(v) for v in q]
-    values = [sum(int(a) * b for a, b in zip(row, q_ints)) for row in x]
+def exact_products(queries: Side, rows: Side, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Integer products of query i with row j: in floats while they are exact, else in Python's integers, cut to 64 bits."""
+    if queries.largest * rows.largest * max(1, rows.x.shape[1]) < _EXACT:
+        some, all_ = np.unique(i), np.unique(j)
+        if len(i) >= DENSE * len(some) * len(all_):
+            whole = queries.x[some] @ rows.x[all_].T
+            return whole[np.searchsorted(some, i), np.searchsorted(all_, j)].astype(np.int64)
+        at_once = max(1, (1 << 20) // max(1, rows.x.shape[1]))
+        parts = [
+            np.einsum("ij,ij->i", queries.x[i[a : a + at_once]], rows.x[j[a : a + at_once]]) for a in range(0, len(i), at_once)
+        ]
+        return np.concatenate(parts).astype(np.int64)
+    values = [sum(int(a) * int(b) for a, b in zip(queries.x[m], rows.x[n])) for m, n in zip(i, j)]
     return np.array([min(max(v, -_LONG), _LONG - 1) for v in values], np.int64)
 
 
@@ -108,35 +121,52 @@ class Best:
                 heapq.heapreplace(self.heap, (score, -i))
 
 
-def search(queries: Side, rows: Side, best: list[Best], at_once: int = 512) -> None:
-    """Coarse to fine over one batch of rows, for all queries of a block, ``at_once`` queries at a time."""
+def _bounds(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Lower bounds of the squared distances of the pairs i, j at one level."""
+    some, all_ = np.unique(i), np.unique(j)
+    if len(i) >= DENSE * len(some) * len(all_):
+        p, q = a[some], b[all_]
+        far = (p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * (p @ q.T)
+        return far[np.searchsorted(some, i), np.searchsorted(all_, j)]
+    at_once = max(1, (1 << 20) // a.shape[1])
+    parts = [((a[i[n : n + at_once]] - b[j[n : n + at_once]]) ** 2).sum(1) for n in range(0, len(i), at_once)]
+    return np.concatenate(parts) if parts else np.empty(0)
+
+
+def search(queries: Side, rows: Side, best: list[Best], at_once: int = 256) -> int:
+    """Coarse to fine over one batch of rows, for all queries of a block, ``at_once`` queries at a time; returns the exact products made."""
+    made = 0
     for first in range(0, len(queries.ids), at_once):
-        part = slice(first, first + at_once)
-        least = np.array([b.least for b in best[part]])
-        both = queries.norm[part, None] + rows.norm[None, :]
-        # Rounding of the float bounds is far below this slack; a bound never drops a true neighbour.
-        slack = 1e-9 * both + 1.0
-        alive = queries.ids[part, None] != rows.ids[None, :]
+        least = np.array([b.least for b in best[first : first + at_once]])
+        i, j = np.nonzero(queries.ids[first : first + at_once, None] != rows.ids[None, :])
+        i += first
         for a, b in zip(queries.levels, rows.levels):
-            a = a[part]
-            far = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
-            alive &= (both - far) / 2 + slack >= least[:, None]
-        for i in np.flatnonzero(alive.any(1)):
-            at = np.flatnonzero(alive[i])
-            scores = exact_products(queries.x[first + i], rows.x[at])
-            keep = scores >= best[first + i].least
-            best[first + i].add(scores[keep], rows.ids[at][keep])
-
-
-def seeds(side: Side, k: int) -> np.ndarray:
-    """A score that each query's k-th best reaches for sure, from the block's own rows."""
-    ids = side.ids
-    if len(ids) <= k or np.abs(side.x).max(initial=0) ** 2 * max(1, side.x.shape[1]) >= _EXACT:
-        return np.full(len(ids), -np.inf)
-    out = np.empty(len(ids))
-    for i in range(len(ids)):
-        scores = (side.x @ side.x[i])[ids != ids[i]]
-        out[i] = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf
+            both = queries.norm[i] + rows.norm[j]
+            # Rounding of the float bounds is far below this slack; a bound never drops a true neighbour.
+            alive = (both - _bounds(a, b, i, j)) / 2 + 1e-9 * both + 1.0 >= least[i - first]
+            i, j = i[alive], j[alive]
+        if not len(i):
+            continue
+        scores = exact_products(queries, rows, i, j)
+        made += len(i)
+        keep = scores >= least[i - first]
+        i, j, scores = i[keep], j[keep], scores[keep]
+        cuts = np.flatnonzero(np.diff(i, prepend=-1))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(i)]):
+            best[i[a]].add(scores[a:b], rows.ids[j[a:b]])
+    return made
+
+
+def seeds(queries: Side, some: Side | None, k: int) -> np.ndarray:
+    """A score that each query's k-th best reaches for sure, from some rows of the table."""
+    out = np.full(len(queries.ids), -np.inf)
+    if some is None or queries.largest * some.largest * max(1, some.x.shape[1]) >= _EXACT:
+        return out
+    for first in range(0, len(out), 256):
+        scores = queries.x[first : first + 256] @ some.x.T
+        scores[queries.ids[first : first + 256, None] == some.ids[None, :]] = -np.inf
+        if scores.shape[1] >= k:
+            out[first : first + 256] = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
     return out
 
 
@@ -161,8 +191,7 @@ def _scan(shared, k: int, scale: int):
             for score, negative in b.heap
         ]
         if out:
-            columns = [pa.array(c, pa.int64()) for c in zip(*out)]
-            yield pa.RecordBatch.from_arrays(columns, names=schema_names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=schema_names)
 
     return run
 
@@ -192,22 +221,27 @@ def top_k(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best rows but its own, ties to the smaller id."""
     spark = vectors.sparkSession
-    small_batches(spark, 2048)
+    prepare(spark)
     rows = usable(vectors, vec_id, embedding)
     asked = usable(queries, vec_id, embedding).groupBy("vec_id").agg(F.min_by("x", F.xxhash64("x")).alias("x"))
-    parts = []
-    for block in query_blocks(asked, block_rows, block_bytes):
-        block_sides = sides([b[0] for b in block], [b[1] for b in block], scale)
-        shared = spark.sparkContext.broadcast((block_sides, {n: seeds(s, k) for n, s in block_sides.items()}))
-        parts.append(rows.mapInArrow(_scan(shared, k, scale), "query_id long, vec_id long, score long"))
-    if not parts:
-        parts = [spark.createDataFrame([], "query_id long, vec_id long, score long")]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionAll(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    some = [(r[0], np.array(r[1], float)) for r in rows.limit(SEED_ROWS).collect()]
+    some = sides([r[0] for r in some], [r[1] for r in some], scale)
+
+    def ranked(block) -> DataFrame:
+        asked_sides = sides([b[0] for b in block], [b[1] for b in block], scale)
+        shared = spark.sparkContext.broadcast((asked_sides, {n: seeds(s, some.get(n), k) for n, s in asked_sides.items()}))
+        found = rows.mapInArrow(_scan(shared, k, scale), _FOUND)
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    blocks = query_blocks(asked, block_rows, block_bytes)
+    last, out = next(blocks, None), None
+    if last is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    for following in blocks:
+        done = Stored(ranked(last), "nearest").df
+        out, last = done if out is None else out.unionAll(done), following
+    return ranked(last) if out is None else out.unionAll(ranked(last))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
