@@ -12,7 +12,8 @@ candidate and takes it for a record only if a WARC header comes out; it then goe
 member, owning those that start inside its range and reading the last one past its end.
 
 Nulls: a null html is an empty payload, a null url an empty target.  A null page id is written as such; it is the response only if
-no equal payload has an id, and rows that repeat the chosen id are all responses.
+no equal payload has an id, and rows that repeat the chosen id are all responses.  Very long pages are one member each, held whole.  An
+empty table gives an archive without records, and such an archive no rows.  Extra columns of pages, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralattice.llm._common import Stored, scratch_path, ship_package, small_batches
+from terralattice.llm._common import Stored, column, prepare, scratch_path
 
 RANGE_BYTES = 32 << 20
 _MAGIC = b"\x1f\x8b\x08"
@@ -94,16 +95,17 @@ def write_archives(
     date: str = "2024-01-01T00:00:00Z",
 ) -> None:
     """Writes a record per row of ``pages`` under ``path``."""
-    small_batches(pages.sparkSession)
+    prepare(pages.sparkSession)
     rows = pages.select(
-        F.col(page_id).cast("long").alias("page_id"),
-        F.col(url).alias("url"),
-        F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"),
+        column(page_id).cast("long").alias("page_id"),
+        column(url).alias("url"),
+        F.encode(F.coalesce(column(html), F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("digest", F.sha1("payload"))
     # Counted per digest from narrow rows, and stored, so that the join can split a digest that many pages share.
     chosen = Stored(rows.groupBy("digest").agg(F.max("page_id").alias("chosen")), "digests")
     members = (
-        rows.join(chosen.df, "digest")
+        # A digest has one row there; hashing it spares sorting the payloads.
+        rows.join(chosen.df.hint("shuffle_hash"), "digest")
         .select(
             "page_id",
             "url",
@@ -237,7 +239,7 @@ _ARROW = pa.schema(
 
 def read_archives(spark: SparkSession, path: str, *, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """One row per record under ``path``: type, ids, target, digest, length and payload."""
-    ship_package(spark)
+    prepare(spark)
 
     def run(batches):
         from pyarrow import fs
