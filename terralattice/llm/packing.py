@@ -3,23 +3,25 @@
 1. Texts become token ids with an end id, stored once.
 2. Document frequencies of all token ids are summed over all documents; with the number of documents and the mean length they
    make one global BM25 weighting, whose size is bounded by the vocabulary.
-3. Documents are range-partitioned into shards by a lexical key (the smallest hash among their rarer tokens) and id, so that
-   documents that share rare tokens tend to meet, and a key that many share is spread over shards.
-4. A shard holds its own index; other shards are not searched.  The first unused document is a seed; the shard's documents are
+3. Documents are range-partitioned and sorted by a lexical key (the smallest hash among their rarer tokens) and id, so that
+   documents that share rare tokens tend to meet, and a key that many share is spread.  A task cuts its rows into shards of about
+   ``shard_tokens`` tokens, which bounds its memory whatever the lengths of the texts.
+4. A shard has its own inverted index; other shards are not searched.  The first unused document is a seed; the shard's documents are
    scored over all its terms, and its unused neighbours fill the window from the best score down.  What is cut off at the
    window's end seeds the next window.  When no neighbour is left, the next unused document follows, so only a shard's last sequence is padded.
 
-Null and empty texts are the end id alone.  Documents without an id and repeated rows are packed like any other.  No
-rows give no sequences.
+Null and empty texts are the end id alone.  Very long texts are cut over as many sequences as they need; their ids are held whole, two to four
+bytes each.  Documents without an id and repeated rows are packed like any other.  No rows give no sequences.  Extra columns, whatever
+their names, are left out: a piece has the columns named in ``pack``.
 """
 
 from __future__ import annotations
 
 import base64
-import functools
 import json
 import os
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralattice.llm._common import Stored, mix64, release_shuffles, small_batches
+from terralattice.llm._common import Stored, column, mix64, prepare, release_shuffles
 
 LENGTH, END_ID = 2048, 1
 SHARD_TOKENS = 2_000_000
@@ -76,7 +78,12 @@ def encoder(path: str):
 def _tokenised(path: str, end_id: int):
     def run(batches):
         encoding = encoder(path)
-        encode = functools.partial(encoding.encode, allowed_special="all", disallowed_special=())
+        added = list(encoding.special_tokens_set)
+
+        def encode(text):
+            # Most texts hold no added token, and looking for them inside the encoder costs time.
+            return encoding.encode(text, allowed_special="all") if any(t in text for t in added) else encoding.encode_ordinary(text)
+
         for batch in batches:
             packed, sizes, keys = [], [], []
             for text in batch.column(1).to_pylist():
@@ -112,32 +119,55 @@ def _frequencies(batches):
 
 
 class Index:
-    """BM25 over one shard with the corpus's statistics."""
+    """BM25 over one shard with the corpus's statistics: postings sorted by term, and each document's terms.
+
+    Postings of used documents are dropped whenever half of the documents still listed are used.
+    """
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        self.idf, self.used = idf, np.zeros(len(docs), bool)
-        terms, owners, counts = [], [], []
-        for i, ids in enumerate(docs):
-            t, c = np.unique(ids, return_counts=True)
-            terms.append(t.astype(np.int64))
-            owners.append(np.full(len(t), i, np.int32))
-            counts.append(c)
-        terms, owners, counts = (np.concatenate(x) if docs else np.empty(0, np.int64) for x in (terms, owners, counts))
+        self.used = np.zeros(len(docs), bool)
+        self.listed = len(docs)
+        self.terms, counts = zip(*(np.unique(ids, return_counts=True) for ids in docs))
+        owners = np.repeat(np.arange(len(docs)), [len(t) for t in self.terms])
+        terms, counts = np.concatenate(self.terms), np.concatenate(counts)
         lengths = np.array([len(d) for d in docs], float)
-        damp = K1 * (1 - B + B * lengths[owners] / max(mean_length, 1.0)) if docs else counts
-        weights = self.idf[terms] * counts * (K1 + 1) / (counts + damp) if docs else counts
-        self.forward = np.concatenate(([0], np.cumsum(np.bincount(owners, minlength=len(docs))))).astype(np.int64)
-        self.terms, self.weights = terms, weights.astype(np.float32)
-
-    def neighbours(self, doc: int) -> np.ndarray:
+        damp = K1 * (1 - B + B * lengths[owners] / max(mean_length, 1.0))
+        order = np.argsort(terms, kind="stable")
+        self.owners = owners[order]
+        self.weights = (idf[terms] * counts * (K1 + 1) / (counts + damp))[order]
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(terms, minlength=len(idf)))))
+
+    def _drop_used(self) -> None:
+        keep = ~self.used[self.owners]
+        self.starts = np.concatenate(([0], np.cumsum(keep)))[self.starts]
+        self.owners, self.weights = self.owners[keep], self.weights[keep]
+        self.listed = int((~self.used).sum())
+
+    def scores(self, doc: int) -> np.ndarray:
+        """Every document's score over all terms of ``doc``; 0 for used ones."""
+        if 2 * int((~self.used).sum()) <= self.listed:
+            self._drop_used()
+        terms = self.terms[doc]
+        lists = [slice(a, b) for a, b in zip(self.starts[terms].tolist(), self.starts[terms + 1].tolist()) if a < b]
+        if not lists:
+            return np.zeros(len(self.used))
+        owners, weights = (np.concatenate([x[s] for s in lists]) for x in (self.owners, self.weights))
+        out = np.bincount(owners, weights, len(self.used))
+        out[self.used] = 0
+        return out
+
+    def neighbours(self, doc: int, first: int = 16) -> Iterator[int]:
         """Unused documents that share a term with ``doc``, best first, ties in shard order."""
-        asked = np.zeros(len(self.idf), np.float32)
-        asked[self.terms[self.forward[doc] : self.forward[doc + 1]]] = 1
-        # Every document holds a term at least, its end id, so no stretch is empty.
-        scores = np.add.reduceat(self.weights * asked[self.terms], self.forward[:-1])
-        scores[self.used] = 0
+        scores = self.scores(doc)
         found = np.flatnonzero(scores > 0)
-        return found[np.argsort(-scores[found], kind="stable")]
+        # A window takes few documents, so the best few are sorted before the rest.
+        if len(found) > first:
+            least = np.partition(scores[found], len(found) - first)[len(found) - first]
+            parts = [found[scores[found] >= least], found[scores[found] < least]]
+        else:
+            parts = [found]
+        for part in parts:
+            yield from part[np.argsort(-scores[part], kind="stable")].tolist()
 
 
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, length: int):
@@ -152,7 +182,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, leng
             rest = (upcoming, 0)
             index.used[upcoming] = True
         (seed, start), offset = rest, 0
-        queue, at, rest = None, 0, None
+        queue, rest = None, None
         doc = seed
         while True:
             size = min(len(docs[doc]) - start, length - offset)
@@ -164,9 +194,8 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, leng
                 break
             if queue is None:
                 queue = index.neighbours(seed)
-            if at < len(queue):
-                doc, at = int(queue[at]), at + 1
-            else:
+            doc = next(queue, None)
+            if doc is None:
                 while upcoming < len(docs) and index.used[upcoming]:
                     upcoming += 1
                 if upcoming == len(docs):
@@ -176,30 +205,41 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, leng
         sequence += 1
 
 
-def _packed(shared, length: int):
+def _shards(batches, shard_tokens: int):
+    """Ids and token arrays of the rows, in their order, cut where a shard has its tokens."""
+    ids, docs, size = [], [], 0
+    for batch in batches:
+        for doc_id, packed, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            ids.append(doc_id)
+            docs.append(unpacked(packed, n))
+            size += n
+            if size >= shard_tokens:
+                yield ids, docs
+                ids, docs, size = [], [], 0
+    if docs:
+        yield ids, docs
+
+
+def _packed(shared, length: int, shard_tokens: int):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
+
     def run(batches):
-        ids_of, docs = [], []
-        for batch in batches:
-            ids_of += batch.column(0).to_pylist()
-            docs += [unpacked(i, n) for i, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        if not docs:
-            return
         idf, mean_length = shared.value
-        shard = TaskContext.get().partitionId() << 32
-        # The same shard gives the same sequences whatever order its rows came in.
-        order = sorted(range(len(docs)), key=lambda i: (ids_of[i] is None, ids_of[i] or 0, docs[i].tobytes()))
-        ids_of, docs = [ids_of[i] for i in order], [docs[i] for i in order]
-        rows = []
-        for doc, start, size, sequence, offset in pack_shard(docs, idf, mean_length, length):
-            piece = docs[doc][start : start + size].astype("<u4").tobytes()
-            rows.append((ids_of[doc], start, size, zlib.crc32(piece), len(docs[doc]), shard + sequence, offset))
-            if len(rows) == 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
-                rows = []
+        before, rows = TaskContext.get().partitionId() << 32, []
+        for ids, docs in _shards(batches, shard_tokens):
+            sequence = -1
+            for doc, start, size, sequence, offset in pack_shard(docs, idf, mean_length, length):
+                piece = docs[doc][start : start + size].astype("<u4").tobytes()
+                rows.append((ids[doc], start, size, zlib.crc32(piece), len(docs[doc]), before + sequence, offset))
+                if len(rows) == 10_000:
+                    yield batch_of(rows)
+                    rows = []
+            before += sequence + 1
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
+            yield batch_of(rows)
 
     return run
 
@@ -216,9 +256,9 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     tokens = Stored(
-        docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+        docs.select(column(doc_id).cast("long").alias("doc_id"), column(text).alias("text")).mapInArrow(
             _tokenised(tokenizer or tokenizer_file(), end_id), "doc_id long, ids binary, n long, lexical long"
         ),
         "tokens",
@@ -237,9 +277,11 @@ def pack(
     shards = max(1, -(-(total["tokens"] or 0) // shard_tokens))
     return (
         tokens.df.repartitionByRange(shards, "lexical", "doc_id")
+        # The same rows in the same order give the same sequences, whatever order they came in.
+        .sortWithinPartitions("lexical", "doc_id", "ids")
         .select("doc_id", "ids", "n")
         .mapInArrow(
-            _packed(shared, length),
+            _packed(shared, length, shard_tokens),
             "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
         )
     )
