@@ -209,7 +209,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= MIX2
     x ^= x >> np.uint64(31)
     return x
-
-
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    prepare(spark)

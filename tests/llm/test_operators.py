@@ -20,10 +20,12 @@ from terralattice.llm import (
     minhash_dedup,
     packing,
     pii,
+    shingles,
     suffix_dedup,
     toxicity,
     warc,
 )
+from terralattice.llm._common import joined_spans
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, component_id string"
 
@@ -122,6 +124,33 @@ def test_stragglers_link_through_a_hot_group(spark):
     assert got == brute_components(made, 2)
 
 
+def test_stragglers_in_many_blocks(spark, monkeypatch):
+    """Groups of which many members resemble others but not the group's first; blocks of a few rows."""
+    monkeypatch.setattr(minhash_dedup, "SIGNED", 16)
+    monkeypatch.setattr(minhash_dedup, "SHINGLES", 900)
+    rng = random.Random(3)
+    made = []
+    for g in range(3):
+        base = prose(rng, 100, 5000).split()
+        for i in range(70):
+            words, family = list(base), i % 9
+            for k in range(family * 2, family * 2 + 14):
+                words[k] = f"g{g}f{family}x{k}"
+            for k in rng.sample(range(100), 2):
+                words[k] = f"g{g}i{i}x{k}"
+            made.append((len(made), " ".join(words), "en", "s", 0, 0, ""))
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(spark.createDataFrame(made, SCHEMA), words=2).collect()}
+    assert got == brute_components(made, 2)
+
+
+def test_word_hashes_in_windows():
+    rng = random.Random(6)
+    for _ in range(200):
+        text = "".join(rng.choice("ab \n\tXé") for _ in range(rng.randrange(60))).encode()
+        for window in (1, 2, 3, 7):
+            assert np.array_equal(shingles.word_hashes(text, window), shingles.word_hashes(text))
+
+
 def test_drop_keeps_columns_and_one_of_each(docs, rows):
     kept = minhash_dedup.drop_near_duplicates(docs, words=5)
     assert kept.columns == docs.columns
@@ -177,6 +206,38 @@ def test_decontamination(spark, docs, rows, block):
         assert r["n_words"] in (-1, None)  # the clashing column is left alone
 
 
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_longest_matches_and_their_places(spark, block, monkeypatch):
+    rng = random.Random(8)
+    texts = [prose(rng, rng.randrange(30, 200), 6) for _ in range(25)] + [None, "", "w1"]
+    items = [(i, prose(rng, rng.randrange(1, 60), 6)) for i in range(8)] + [(50, texts[3][20:140]), (51, texts[3][20:140]), (52, "w1 w1")]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    found = decontaminate.find_contamination(frame, spark.createDataFrame(items, "item_id long, text string"), window=5, block_bytes=block)
+    for r in found.collect():
+        words, want = (r["text"] or "").split(), set()
+        for item, t in items:
+            w = t.split()
+            m = min(5, len(w))
+            starts = {(a, b) for a in range(len(words) - m + 1) for b in range(len(w) - m + 1) if words[a : a + m] == w[b : b + m]}
+            for a, b in starts:
+                if (a - 1, b - 1) not in starts:
+                    n = 0
+                    while (a + n, b + n) in starts:
+                        n += 1
+                    want.add((a, m + n - 1, str(item), b))
+        assert {tuple(x) for x in r["_matches"]} == want and len(r["_matches"]) == len(want)
+
+
+def test_drop_contaminated_keeps_columns(spark, docs, rows):
+    items = spark.createDataFrame([(1, rows[5][1])], "item_id long, text string")
+    clash = docs.withColumn("_n_hit", F.lit("mine")).withColumn("_Spans", F.lit(7))
+    kept = decontaminate.drop_contaminated(clash, items)
+    assert kept.columns == clash.columns
+    want = sum(1 for r in rows if not (lambda x: x[1] and 20 * x[1] >= x[0])(brute_contamination(r[1], [(1, rows[5][1])])))
+    got = kept.collect()
+    assert len(got) == want and all(r["_n_hit"] == "mine" and r["_Spans"] == 7 for r in got)
+
+
 def test_decontamination_without_benchmark(spark, docs, rows):
     none = spark.createDataFrame([], "item_id long, text string")
     got = decontaminate.with_verdict(decontaminate.find_contamination(docs, none)).collect()
@@ -256,7 +317,7 @@ def test_neighbours_are_scored_over_all_terms():
     idf = np.linspace(9, 1, 400)
     index = packing.Index(docs, idf, 30.0)
     index.used[0] = True
-    assert index.neighbours(0).tolist() == [5]
+    assert list(index.neighbours(0)) == [5]
     docs = [rng.integers(0, 400, rng.integers(50, 200)) for _ in range(40)]
     index, mean = packing.Index(docs, idf, 120.0), 120.0
     want = []
@@ -265,9 +326,36 @@ def test_neighbours_are_scored_over_all_terms():
         counts = collections.Counter(d.tolist())
         want.append(sum(idf[t] * counts[t] * (packing.K1 + 1) / (counts[t] + damp) for t in sorted(set(docs[7].tolist())) if t in counts))
     index.used[7] = True
-    got = index.neighbours(7)
-    assert sorted(got.tolist()) == [i for i in range(40) if i != 7]
-    assert np.all(np.diff(np.array(want)[got]) < 1e-2)
+    got = list(index.neighbours(7, first=5))
+    assert sorted(got) == [i for i in range(40) if i != 7]
+    assert np.all(np.diff(np.array(want)[got]) < 1e-9)
+    # The same, for what is left, when most documents are used and their postings dropped.
+    index.used[:30] = True
+    assert list(index.neighbours(7)) == [i for i in got if i >= 30] and len(index.owners) < 40 * 200
+    assert np.allclose(index.scores(7)[30:], np.array(want)[30:])
+
+
+def test_packing_in_shards_of_tokens(spark):
+    """Shards are cut by tokens inside a task; each id still lies in one piece and only a shard's last sequence is short."""
+    rng = random.Random(14)
+    made = [(i, prose(rng, rng.choice([0, 3, 50, 700]), 500)) for i in range(120)]
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    pieces = packing.pack(frame, length=64, shard_tokens=1500).collect()
+    by = collections.defaultdict(list)
+    for p in pieces:
+        by[p["doc_id"]].append(p)
+    for i, _ in made:
+        at = 0
+        for p in sorted(by[i], key=lambda p: p["start"]):
+            assert p["start"] == at
+            at += p["length"]
+        assert at == by[i][0]["doc_tokens"]
+    total = sum(p["length"] for p in pieces)
+    sequences = collections.Counter()
+    for p in pieces:
+        sequences[p["sequence_id"]] += p["length"]
+    short = sum(n < 64 for n in sequences.values())
+    assert short <= 2 * (total // 1500 + 1) + 4 and max(sequences.values()) <= 64
 
 
 def test_packing_of_nothing(empty):
@@ -279,20 +367,22 @@ def test_packing_of_nothing(empty):
 
 def brute_repeats(texts, length):
     counts = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
-    return [suffix_dedup.joined([(i, i + length) for i in range(len(t) - length + 1) if counts[t[i : i + length]] > 1]) for t in texts]
+    return [joined_spans([(i, i + length) for i in range(len(t) - length + 1) if counts[t[i : i + length]] > 1]) for t in texts]
 
 
-@pytest.mark.parametrize("hot", [256, 1])
-def test_suffix_dedup(spark, docs, rows, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    got = suffix_dedup._with_spans(docs, 200, 64, "text", "doc_id").select("doc_id", "text", "_spans").collect()
+@pytest.mark.parametrize(("block", "chunk", "bucket"), [(4096, 1 << 17, 8 << 20), (1, 900, 2000), (2, 300, 500)])
+def test_suffix_dedup(spark, docs, rows, block, chunk, bucket, monkeypatch):
+    """One block, piece and bucket; and several of each."""
+    for name, value in (("BLOCK", block), ("CHUNK", chunk), ("BUCKET_BYTES", bucket)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    got = suffix_dedup._with_spans(docs, 200, 64, "text", "doc_id", "_spans").select("doc_id", "text", "_spans").collect()
     texts = [(r[1] or "").encode() for r in rows]
     want = collections.defaultdict(set)
     for r, spans in zip(rows, brute_repeats(texts, 200)):
         want[r[0], r[1]].add(tuple(spans))
     assert len(got) == len(rows)
     for r in got:
-        assert {tuple(suffix_dedup.joined([(s["a"], s["e"]) for s in r["_spans"] or ()]))} == want[r["doc_id"], r["text"]]
+        assert {tuple(joined_spans([(s["a"], s["e"]) for s in r["_spans"] or ()]))} == want[r["doc_id"], r["text"]]
 
 
 def test_suffix_dedup_random_bytes_and_small_alphabets(spark):
@@ -300,9 +390,9 @@ def test_suffix_dedup_random_bytes_and_small_alphabets(spark):
     texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(0, 120))) for _ in range(40)]
     texts += [texts[3] + texts[7] + "é" * 9, "a" * 90, "ab" * 40]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["_spans"] for r in suffix_dedup._with_spans(frame, 20, 8, "text", "doc_id").collect()}
+    got = {r["doc_id"]: r["_spans"] for r in suffix_dedup._with_spans(frame, 20, 8, "text", "doc_id", "_spans").collect()}
     for i, spans in enumerate(brute_repeats([t.encode() for t in texts], 20)):
-        assert suffix_dedup.joined([(s["a"], s["e"]) for s in got[i] or ()]) == spans
+        assert joined_spans([(s["a"], s["e"]) for s in got[i] or ()]) == spans
 
 
 def test_remove_repeats_keeps_characters(spark):
@@ -317,6 +407,45 @@ def test_suffix_dedup_of_nothing(empty):
     assert suffix_dedup.remove_repeats(empty).collect() == []
 
 
+def test_suffix_dedup_at_the_borders_of_a_hot_passage(spark, monkeypatch):
+    """A passage that many documents share, cut short by some, between bytes that differ: its border anchors have many contents."""
+    rng = random.Random(21)
+    letters = "".join(map(chr, range(97, 123))) + " "
+    passage = "".join(rng.choice(letters) for _ in range(500))
+    noise = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [noise(rng.randrange(150)) + passage[rng.randrange(3) * 90 : 500 - rng.randrange(3) * 90] + noise(rng.randrange(150)) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_repeats([t.encode() for t in texts], 200)
+    for block in (4096, 5):
+        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+        got = {r["doc_id"]: r["s"] for r in suffix_dedup._with_spans(frame, 200, 64, "text", "doc_id", "s").collect()}
+        assert [joined_spans([(x["a"], x["e"]) for x in got[i] or ()]) for i in range(60)] == want
+
+
+def test_repeated_windows_by_brute_force():
+    rng = random.Random(5)
+    for _ in range(40):
+        data, left, group = [], [], []
+        for g in range(6):
+            for _ in range(rng.randrange(1, 7)):
+                n = rng.randrange(0, 9)
+                data.append(bytes(rng.choice(b"ab") for _ in range(n)) + b"ANCH" + bytes(rng.choice(b"ab") for _ in range(12 - 4)))
+                left.append(n)
+                group.append(g)
+        low, high = suffix_dedup.repeated_windows(np.array(group), data, left, [b""] * len(data), 12, 4)
+        for i, (row, n) in enumerate(zip(data, left)):
+            hits = [
+                a
+                for a in range(len(row) - 11)
+                if any(
+                    j != i and group[j] == group[i] and 0 <= a - n + left[j] <= len(data[j]) - 12
+                    and data[j][a - n + left[j] : a - n + left[j] + 12] == row[a : a + 12]
+                    for j in range(len(data))
+                )
+            ]
+            assert (low[i], high[i]) == ((hits[0], hits[-1]) if hits else (-1, -1))
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(0)
     keys = [rng.integers(0, 3, 20_000), rng.integers(0, 50, 20_000), rng.integers(0, 1 << 40, 20_000)]
@@ -345,6 +474,66 @@ def test_language_id(spark):
     assert all(0 <= r["_score"] <= 1 for r in found)
 
 
+def test_language_id_against_a_plain_version(spark, monkeypatch):
+    rng = random.Random(17)
+    stock = {"aa": "the and with house tree walk", "bb": "der und mit haus baum gehen", "cc": "le et avec maison arbre marcher"}
+    letters = "abcdehimnorstuwé"
+    made = []
+    for i in range(150):
+        lang = rng.choice(list(stock))
+        words = [rng.choice(stock[lang].split()) for _ in range(rng.randrange(1, 12))]
+        words += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 8))) for _ in range(rng.randrange(6))]
+        made.append((i, rng.choice([" ", "-", " 7 "]).join(words).title(), lang))
+    made += [(200, "²³ Ⅷ", "aa"), (201, "7 x²y", "bb")]
+    learn = [(t, lang) for i, t, lang in made if i < 100]
+    model_words, model_grams = collections.Counter(), collections.Counter()
+    split = lambda t: [w for w in re.findall(r"[^\W\d_]+", t.lower()) if any(c.isalpha() for c in w)]
+    for t, lang in learn:
+        for w in split(t):
+            model_words[lang, w] += 1
+            for size in range(1, 6):
+                for g in language_id.grams_of(w, size):
+                    model_grams[lang, g] += 1
+    langs = sorted(stock)
+    known = {w for _, w in model_words}
+    grams = {g for _, g in model_grams}
+
+    def logs(unit, counter, units):
+        return [np.log((counter[x, unit] + 0.5) / sum(counter[x, u] + 0.5 for u in units)) for x in langs]
+
+    of_size = {n: [g for g in grams if len(g) == n] for n in range(1, 6)}
+
+    def plain(text):
+        total = np.zeros(3)
+        words = split(text)
+        for w in words:
+            if w in known:
+                total += logs(w, model_words, known)
+                continue
+            for size in range(min(5, len(w) + 2), 0, -1):
+                have = [g for g in language_id.grams_of(w, size) if g in grams]
+                if have:
+                    total += np.mean([logs(g, model_grams, of_size[size]) for g in have], axis=0)
+                    break
+        p = np.exp(total - total.max())
+        return (langs[int(p.argmax())], p.max() / p.sum()) if words else ("und", 0.0)
+
+    frame = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.identify(frame, F.col("doc_id") < 100).collect()}
+    for i, t, _ in made:
+        lang, p = plain(t)
+        assert got[i]["_lang_pred"] == lang and abs(got[i]["_score"] - p) < 1e-6, t
+
+
+def test_texts_in_pieces():
+    rng = random.Random(9)
+    for _ in range(200):
+        text = "".join(rng.choice("ab é7_\n") for _ in range(rng.randrange(80)))
+        cut = list(language_id.pieces(text, rng.randrange(1, 9)))
+        assert "".join(cut) == text
+        assert sum((language_id._WORD.findall(p) for p in cut), []) == language_id._WORD.findall(text)
+
+
 def test_language_id_without_training(spark, empty):
     frame = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert language_id.identify(frame, F.lit(True)).first()["_lang_pred"] == "und"
@@ -380,6 +569,27 @@ def test_toxicity_chain(spark):
     assert got[0]["toxic"] == "keep" and not any(r["_is_low_quality"] for r in got)
 
 
+def test_toxicity_scores_against_a_plain_version(spark):
+    rng = random.Random(16)
+    made = [(i, prose(rng, rng.choice([0, 1, 9, 80]), 60) + rng.choice(["", " Stupidity", " stupid stupid"])) for i in range(240)]
+    made += [(300, None)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 3 % 2, int("stupid" in (t or ""))) for i, t in made[:200]], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit_chain(docs, known, toxicity.categories())
+    got = {r["doc_id"]: r for r in toxicity.score(docs, chain).collect()}
+    for i, text in made:
+        words, earlier = collections.Counter(re.findall(r"[^\W\d_]+", (text or "").lower())), []
+        for model, threshold, name in zip(chain.models, chain.thresholds, chain.names):
+            z = model.bias + sum(w * p for w, p in zip(model.dense, earlier))
+            for word, n in words.items():
+                for f in toxicity.features_of(word):
+                    if f < toxicity.WIDTH:
+                        z += model.weights[f] * np.log1p(100 * n / sum(words.values()))
+            earlier.append(1 / (1 + np.exp(-z)))
+            assert abs(got[i][f"_p_{name}"] - earlier[-1]) < 1e-9
+            assert got[i][f"_is_{name}"] == (got[i][f"_p_{name}"] >= threshold)
+
+
 def test_toxicity_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     chain = toxicity.fit_chain(docs, none, toxicity.categories())
@@ -410,6 +620,35 @@ def test_exact_search(spark, block_rows):
     assert {tuple(r) for r in got.collect()} == brute_top(rows)
 
 
+@pytest.mark.parametrize("block_rows", [4096, 7])
+def test_exact_search_for_queries_from_elsewhere(spark, block_rows):
+    rng = random.Random(18)
+    rows = [(i, [rng.gauss(rng.choice([-2, 2]), 0.3) for _ in range(12)]) for i in range(300)]
+    asked = [(1000 + i, [rng.uniform(-3, 3) for _ in range(12)]) for i in range(20)] + [(5, rows[5][1]), (2000, [1.0] * 3)]
+    schema = "vec_id long, embedding array<double>"
+    got = exact_search.top_k(spark.createDataFrame(rows, schema), spark.createDataFrame(asked, schema), k=4, block_rows=block_rows)
+    ints = lambda v: [int(np.floor(1024 * x)) for x in v]
+    want = set()
+    for q, a in asked:
+        scores = sorted((-sum(x * y for x, y in zip(ints(a), ints(b))), i) for i, b in rows if i != q and len(b) == len(a))
+        want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:4])}
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_bounds_leave_few_exact_products():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 4, (20, 32))
+    vectors = np.floor(1024 * (centres[rng.integers(0, 20, 4000)] + rng.normal(0, 0.1, (4000, 32))))
+    rows, queries = exact_search.Side(np.arange(4000), vectors), exact_search.Side(np.arange(40), vectors[:40])
+    best = [exact_search.Best(10, s) for s in exact_search.seeds(queries, exact_search.Side(np.arange(1000), vectors[:1000]), 10)]
+    made = exact_search.search(queries, rows, best)
+    assert made < 0.2 * 40 * 4000
+    products = (vectors[:40] @ vectors.T).astype(np.int64)
+    for i, b in enumerate(best):
+        scores = sorted(((-products[i, j], j) for j in range(4000) if j != i))[:10]
+        assert sorted((-s, -j) for s, j in b.heap) == scores
+
+
 def test_exact_search_large_components_and_nothing(spark):
     rows = [(0, [1e9, -3e8]), (1, [2e9, 1e9]), (2, [-1.0, 5.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -554,8 +793,112 @@ def test_redaction(spark):
 
 
 def test_boosted_trees_learn():
-    counts = {(k, d, 0, 0, 0, 0, w, 0): ((10 if w else 0), 10) for k in (0, 3) for d in range(9) for w in (0, 1)}
+    vectors = [(k, d, 0, 0, 0, 0, w, 0, 0, 0) for k in (0, 3) for d in range(9) for w in (0, 1)]
+    counts = {(fold, v): ((10 if v[6] else 0), 10) for v in vectors for fold in range(3)}
     model = pii.Boosted(counts)
     assert len(model.trees) == pii.ROUNDS
-    score = lambda row: model.bias + sum(pii._leaf(t, row) for t in model.trees)
-    assert all((score(r) >= model.thresholds[r[0]]) == bool(r[6]) for r in counts)
+    scores = model.score_of(np.array(vectors))
+    assert all((z >= model.thresholds[v[0]]) == bool(v[6]) for z, v in zip(scores, vectors))
+    # Kinds without a candidate, or without a calibrated step that is sure enough, accept nothing.
+    assert model.thresholds[1] == float("inf")
+    noisy = pii.Boosted({(fold, v): (5, 10) for v in vectors for fold in range(3)})
+    assert set(noisy.thresholds.values()) == {float("inf")}
+
+
+def test_isotonic_steps_rise():
+    rng = np.random.default_rng(2)
+    z, n = rng.integers(0, 12, 300).astype(float), rng.integers(1, 9, 300).astype(float)
+    y = np.minimum(n, np.floor(n * np.clip(z / 12 + rng.normal(0, 0.3, 300), 0, 1)))
+    steps = pii.isotonic(z, y, n)
+    assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(steps, steps[1:]))
+    assert abs(sum(y) - sum(p * sum(n[(z >= a) & (z < b)]) for (a, p), b in zip(steps, [s for s, _ in steps[1:]] + [99]))) < 1e-6
+
+
+def test_looser_spellings_and_secrets_are_found(spark):
+    """Weak labels teach formats: what no base pattern matches is found by its likeness to what the labels speak for."""
+    rng = random.Random(19)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    hexes = lambda n: rng.choice("abcdef") + digits(2) + "".join(rng.choice("0123456789abcdef") for _ in range(n - 3))
+
+    def card(gap):
+        head = "4" + digits(14)
+        whole = next(head + c for c in "0123456789" if luhn(head + c))
+        return gap.join(whole[i : i + 4] for i in range(0, 16, 4))
+
+    texts = []
+    for i in range(400):
+        texts.append(f"write to user{i} (at) mail{i % 7} (dot) example (dot) com now, or u{i}@mail{i % 7}.example.com")
+        texts.append(f"pay with {card('.')} or {card('')} please, order {digits(14)} of today")
+        texts.append(f"ring (2{digits(2)}) 5{digits(2)}-{digits(4)} soon, ratio {digits(2)}.{digits(3)}.{digits(2)}")
+        texts.append(rng.choice(['set token = "{}" there', "password={} or so", "the secret key {} of theirs"]).format(hexes(40)))
+    extra = [f"lone {hexes(40)} here" for _ in range(4)] + ["version 1.2.3.4 came", "a plain sentence with 12 numbers 345"]
+    frame = spark.createDataFrame(list(enumerate(texts + extra)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.find_personal_data(frame).collect()}
+
+    def found(i, kind):
+        base = {(x["s"], x["e"]) for x in got[i]["_base"]}
+        return [x for x in got[i]["_spans"] if x["k"] == pii.KINDS.index(kind) and (x["s"], x["e"]) not in base]
+
+    assert sum(len(found(i, "email")) for i in range(0, 1600, 4)) >= 390
+    assert sum(len(found(i, "card")) for i in range(1, 1600, 4)) >= 300
+    assert sum(len(found(i, "phone")) for i in range(2, 1600, 4)) >= 390
+    assert sum(len(found(i, "secret")) for i in range(3, 1600, 4)) >= 390
+    # No word before these says so; their labels are negative, as few as to leave the others' format sure enough.
+    assert sum(len(found(i, "secret")) for i in range(1600, 1604)) == 4
+    assert not got[1605]["_spans"]
+
+
+# --- clashing names and long texts, all operators --------------------------------------------------
+
+
+def test_extra_columns_with_clashing_names(spark):
+    taken = ["_text", "_base", "_loose", "_more0", "_email", "_spans", "_ID", "_hash", "_lost", "_n_words", "_items", "_matches", "_n_lines",
+             "_lang_pred", "_score", "_p_toxic", "_is_toxic", "_removed_bytes", "_gone", "a", "b", "rep", "labels", "odd.name", "learn"]
+    long = "a passage of the benchmark that has a good many words in it and goes on for a while yet " * 3
+    made = [(i, f"{long}mail a{i}@b.example\n{i}", "en", *[f"{c}{i}" for c in taken]) for i in range(6)]
+    schema = "doc_id long, text string, lang string, " + ", ".join(f"`{c}` string" for c in taken)
+    frame = spark.createDataFrame(made, schema)
+    benchmark = spark.createDataFrame([(1, long)], "item_id long, text string")
+    known = spark.createDataFrame([(i, 1, i % 2) for i in range(6)], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit_chain(frame, known, toxicity.categories())
+    results = {
+        "lines": line_dedup.drop_repeated_lines(frame),
+        "copies": minhash_dedup.drop_near_duplicates(frame),
+        "benchmark": decontaminate.find_contamination(frame, benchmark),
+        "benchmark in blocks": decontaminate.find_contamination(frame, benchmark.unionAll(benchmark), block_bytes=10),
+        "repeats": suffix_dedup.remove_repeats(frame),
+        "language": language_id.identify(frame, F.lit(True)),
+        "toxicity": toxicity.score(frame, chain),
+        "flagged": toxicity.drop_flagged(frame, chain, "low_quality"),
+        "data": pii.find_personal_data(frame),
+        "redacted": pii.redact(frame),
+    }
+    for name, result in results.items():
+        rows = result.collect()
+        assert rows, name
+        for r in rows:
+            assert all(r[c] == f"{c}{r['doc_id']}" for c in taken), name
+    assert len(packing.pack(frame).collect()) >= 6
+    vectors = frame.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"), "*")
+    assert exact_search.top_k(vectors, vectors).count() == 30
+
+
+def test_very_long_texts(spark):
+    """Some megabytes in one text, with one word and one line of a megabyte."""
+    rng = random.Random(20)
+    body = prose(rng, 400_000, 5000)
+    passage = "Nothing else in these texts has this passage in it, " * 6
+    made = [(1, body), (2, body + " end"), (3, "x" * 1_000_000 + "\n" + passage), (4, passage + body[:3000]), (5, passage), (6, "é" * 300_000)]
+    frame = spark.createDataFrame([(*m, "en") for m in made], "doc_id long, text string, lang string")
+    near = {r["doc_id"]: r for r in minhash_dedup.near_duplicates(frame, words=2).collect()}
+    assert near[2]["component_id"] == 1 and near[3]["component_id"] == 3
+    assert near[1]["n_shingles"] == len({tuple(x) for x in zip(body.split(), body.split()[1:])})
+    cut = {r["doc_id"]: r["_removed_bytes"] for r in suffix_dedup.remove_repeats(frame).collect()}
+    assert cut[1] == len(body) and cut[2] >= len(body) and cut[5] == len(passage) and cut[6] >= 599_000
+    items = spark.createDataFrame([(9, passage)], "item_id long, text string")
+    hit = {r["doc_id"]: r["_n_hit"] for r in decontaminate.with_verdict(decontaminate.find_contamination(frame, items)).collect()}
+    assert hit[1] == 0 and hit[3] == hit[5] == len(re.findall("[a-zA-Z]+", passage))
+    assert all(r["_lang_pred"] == "en" for r in language_id.identify(frame, F.lit(True)).collect())
+    assert {r["doc_id"] for r in line_dedup.drop_repeated_lines(frame, min_docs=1).filter("_n_dropped = 0").collect()} == {1, 2, 4, 5, 6}
+    pieces = packing.pack(frame).collect()
+    assert sum(p["length"] for p in pieces) == sum({p["doc_id"]: p["doc_tokens"] for p in pieces}.values())
