@@ -9,20 +9,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-STOPWORDS = ("the", "and", "for", "near", "with", "from", "that", "this", "are", "you")
+# Words that no name is searched by, and bounds on the words of a query; fixed values.
+STOPWORDS = ("the", "a", "an", "on", "in", "at", "near", "of", "and", "by")
 MIN_TOKEN, MAX_TOKENS = 3, 12
 FUZZY_THRESHOLD = 0.92
 
-# Letters without a canonical decomposition, and what they fold to.
+# Letters without a canonical decomposition, and what they fold to; fixed values.
 EXTENDED = {"ß": "ss", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "æ": "ae", "œ": "oe", "ħ": "h", "ı": "i"}
 
 
 def _decomposed() -> tuple[str, str]:
-    """Latin letters with a canonical base letter, and these bases."""
+    """Characters of any script that are a base character with marks, and these bases."""
     pairs = []
-    for point in range(0xC0, 0x250):
+    for point in range(0xC0, 0x20000):
         form = unicodedata.normalize("NFD", chr(point))
-        if len(form) > 1 and all(unicodedata.combining(c) for c in form[1:]):
+        if form[0] != chr(point) and all(unicodedata.category(c) == "Mn" for c in form[1:]):
             pairs.append((chr(point), form[0]))
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
@@ -31,8 +32,8 @@ _ACCENTED, _PLAIN = _decomposed()
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents, for Latin letters, inside the JVM."""
-    return F.lower(F.translate(F.regexp_replace(c, r"\p{Mn}", ""), _ACCENTED, _PLAIN))
+    """Lower case without accents, for every script, inside the JVM."""
+    return F.lower(F.translate(F.regexp_replace(c, r"[\p{Mn}\p{Me}]", ""), _ACCENTED, _PLAIN))
 
 
 def fold_extended(c: Column) -> Column:
@@ -73,10 +74,10 @@ def match_tier(name: Column, query: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Words of three letters or more that are no stop words, twelve at most; all words if none is left."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"([\w'-]+)"), F.lit(1))
-    kept = F.filter(words, lambda w: (F.length(w) >= MIN_TOKEN) & ~w.isin(*STOPWORDS))
-    return F.slice(F.when(F.size(kept) > 0, kept).otherwise(words), 1, MAX_TOKENS)
+    """Words of three letters or more that are no stop words, twelve at most; with stop words if none is left, else the whole text."""
+    long = F.filter(F.regexp_extract_all(c, F.lit(r"(?U)([\w'-]+)"), F.lit(1)), lambda w: F.length(w) >= MIN_TOKEN)
+    kept = F.filter(long, lambda w: ~F.lower(w).isin(*STOPWORDS))
+    return F.slice(F.when(F.size(kept) > 0, kept).when(F.size(long) > 0, long).otherwise(F.array(c)), 1, MAX_TOKENS)
 
 
 def stem(c: Column) -> Column:
@@ -158,75 +159,186 @@ STATES = {
 }
 
 
+def _table(pairs: dict) -> Column:
+    """A map literal of names to a text, or to a list of texts."""
+    value = lambda v: F.lit(v) if isinstance(v, str) else F.array(*map(F.lit, v))
+    return F.create_map(*(x for k, v in pairs.items() for x in (F.lit(k), value(v))))
+
+
+def state_of(c: Column) -> Column:
+    """The code of a state named by its code or in full, null if it is none; a final full stop does no harm."""
+    t = F.regexp_replace(F.trim(c), r"\.+$", "")
+    by_name = _table({name.lower(): code for code, name in STATES.items()})
+    return F.coalesce(F.when(F.upper(t).isin(*STATES), F.upper(t)), F.try_element_at(by_name, F.lower(t)))
+
+
 def region_suffix(c: Column) -> tuple[Column, Column]:
-    """(name, state code): after a comma if there is one, else the last word; code null if it is no state."""
-    comma = F.instr(c, ",") > 0
-    head = F.when(comma, F.trim(F.substring_index(c, ",", 1))).otherwise(F.trim(F.regexp_replace(c, r"\s+\S+$", "")))
-    tail = F.upper(F.trim(F.when(comma, F.substring_index(c, ",", -1)).otherwise(F.regexp_extract(c, r"(\S+)$", 1))))
-    known = tail.isin(*STATES) & (head != "") & (F.upper(head) != tail)
-    return F.when(known, head).otherwise(F.trim(c)), F.when(known, tail)
-
-
-#: Spellings that stand for each other in street names; fixed values.
-STREET_WORDS = {
-    "street": "st", "avenue": "ave", "road": "rd", "boulevard": "blvd", "drive": "dr", "lane": "ln", "court": "ct",
-    "place": "pl", "square": "sq", "parkway": "pkwy", "highway": "hwy", "north": "n", "south": "s", "east": "e", "west": "w",
-    "northeast": "ne", "northwest": "nw", "southeast": "se", "southwest": "sw", "first": "1st", "second": "2nd", "third": "3rd",
-    "fourth": "4th", "fifth": "5th", "sixth": "6th", "seventh": "7th", "eighth": "8th", "ninth": "9th", "tenth": "10th",
-    "saint": "st", "mount": "mt", "fort": "ft",
+    """(name, state code): what follows the last comma, else the last word, if it names a state; the text itself and null if neither does."""
+    t = F.trim(c)
+    before, after = F.trim(F.regexp_extract(t, r"^(.*),", 1)), F.trim(F.regexp_extract(t, r",([^,]*)$", 1))
+    head, last = F.trim(F.regexp_extract(t, r"^(.*\S)\s+\S+$", 1)), F.regexp_extract(t, r"\s(\S+)$", 1)
+    by_comma = F.when((before != "") & (after != ""), state_of(after))
+    by_word = F.when((head != "") & (last != ""), state_of(last))
+    return F.when(by_comma.isNotNull(), before).when(by_word.isNotNull(), head).otherwise(c), F.coalesce(by_comma, by_word)
+
+
+# Other spellings of a word of a name or street, in the order in which they are tried; fixed values.
+NAME_FORMS = {"st": ["Saint"], "saint": ["St.", "St"], "ft": ["Fort"], "fort": ["Ft.", "Ft"], "mt": ["Mount"], "mount": ["Mt.", "Mt"]}
+CARDINAL_FORMS = {
+    "n": ["North"], "north": ["N.", "N"],
+    "s": ["South"], "south": ["S.", "S"],
+    "e": ["East"], "east": ["E.", "E"],
+    "w": ["West"], "west": ["W.", "W"],
+}
+STREET_FORMS = {
+    "street": ["St"], "st": ["Street"],
+    "avenue": ["Ave"], "ave": ["Avenue"],
+    "parkway": ["Pkwy"], "pkwy": ["Parkway"],
+    "boulevard": ["Blvd"], "blvd": ["Boulevard"],
+    "road": ["Rd"], "rd": ["Road"],
+    "drive": ["Dr"], "dr": ["Drive"],
+    "lane": ["Ln"], "ln": ["Lane"],
+    "court": ["Ct"], "ct": ["Court"],
+    "place": ["Pl"], "pl": ["Place"],
+}
+QUADRANT_FORMS = {
+    "nw": ["Northwest"], "northwest": ["NW"],
+    "ne": ["Northeast"], "northeast": ["NE"],
+    "sw": ["Southwest"], "southwest": ["SW"],
+    "se": ["Southeast"], "southeast": ["SE"],
 }
+ORDINAL_WORDS = {
+    "first": ["1st", "1"], "second": ["2nd", "2"], "third": ["3rd", "3"], "fourth": ["4th", "4"], "fifth": ["5th", "5"], "sixth": ["6th", "6"],
+    "seventh": ["7th", "7"], "eighth": ["8th", "8"], "ninth": ["9th", "9"], "tenth": ["10th", "10"], "eleventh": ["11th", "11"],
+    "twelfth": ["12th", "12"],
+}
+#: Spellings of one street at most.
+STREET_CAP = 24
 
 
-#: The survey's cap on the spellings of one street (the reference's value).
-STREET_CAP = 24
+def _merged(*tables: dict) -> dict:
+    out: dict = {}
+    for t in tables:
+        for key, forms in t.items():
+            out[key] = out.get(key, []) + forms
+    return out
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _numbered(key: Column) -> Column:
+    """The other form of a numeral: 5th and 5."""
+    n = key.cast("long")
+    ending = F.when(F.pmod(n, F.lit(100)).between(10, 13), "th").otherwise(
+        F.coalesce(F.try_element_at(_table({"1": "st", "2": "nd", "3": "rd"}), F.pmod(n, F.lit(10)).cast("string")), F.lit("th"))
+    )
+    bare = F.regexp_extract(key, r"^(\d+)(?:st|nd|rd|th)$", 1)
+    return F.when(bare != "", F.array(bare)).when(key.rlike(r"^\d+$"), F.array(F.concat(key, ending))).otherwise(_none())
 
 
 def street_variants(c: Column) -> Column:
-    """The text itself and every choice of short and long forms of its words, distinct and sorted; the first 24 of the product."""
-    words = F.split(F.lower(F.trim(c)), r"\s+")
-    there = {k: [v] for k, v in STREET_WORDS.items()}
-    for long, short in STREET_WORDS.items():
-        there.setdefault(short, []).append(long)
-    table = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in there.items() for x in kv))
-    empty = F.array().cast("array<string>")
+    """The text itself and every choice of other forms of its words, in order, distinct but for case; the first 24 of the product."""
+    words = F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
+    table = _table(_merged(NAME_FORMS, STREET_FORMS, QUADRANT_FORMS, ORDINAL_WORDS, CARDINAL_FORMS))
+    alone = F.size(words) == 1
+
+    def choices(word: Column) -> Column:
+        key = F.lower(F.regexp_replace(word, r"^\.+|\.+$", ""))
+        forms = F.concat(F.array(word), F.coalesce(F.try_element_at(table, key), _none()), _numbered(key))
+        # A lone word stands for the beginnings of streets, so it never becomes a mere number.
+        return F.filter(forms, lambda f: ~(alone & f.rlike(r"^\d+$") & ~word.rlike(r"^\d+$")))
 
     def longer(heads: Column, word: Column) -> Column:
-        choices = F.concat(F.array(word), F.coalesce(F.try_element_at(table, word), empty))
-        grown = F.flatten(F.transform(heads, lambda h: F.transform(choices, lambda w: F.concat_ws(" ", h, w))))
-        # The text itself is always the first.
+        grown = F.flatten(F.transform(heads, lambda h: F.transform(choices(word), lambda w: F.concat_ws(" ", h, w))))
         return F.slice(grown, 1, STREET_CAP)
 
-    heads = F.array(F.lit(None).cast("string"))
-    return F.array_sort(F.array_distinct(F.aggregate(words, heads, longer)))
+    every = F.aggregate(words, F.array(F.lit(None).cast("string")), longer)
+    first = lambda x, i: F.array_position(F.transform(every, F.lower), F.lower(x)) == i + 1
+    return F.when(F.size(words) > 0, F.filter(every, first)).otherwise(_none())
+
+
+def name_variants(c: Column) -> Column:
+    """Spellings of a place's name with one word in another form, without the name itself; the first word may be a cardinal point."""
+    words, table = F.split(c, " "), _table(NAME_FORMS)
+    leading = _table(_merged(NAME_FORMS, CARDINAL_FORMS))
+    bare = lambda w: F.lower(F.regexp_replace(w, r"^\.+|\.+$", ""))
+
+    def swapped(word: Column, i: Column) -> Column:
+        forms = F.coalesce(F.try_element_at(F.when(i == 0, leading).otherwise(table), bare(word)), _none())
+        return F.transform(
+            forms, lambda f: F.concat_ws(" ", F.slice(words, F.lit(1), i), f, F.slice(words, i + 2, F.greatest(F.size(words) - i - 1, F.lit(0))))
+        )
+
+    every = F.flatten(F.transform(words, swapped))
+    first = lambda x, i: (F.array_position(F.transform(every, F.lower), F.lower(x)) == i + 1) & (F.lower(x) != F.lower(c))
+    return F.filter(every, first)
+
+
+# Postcodes by the shapes of the countries that have them; fixed values.
+POSTCODE_SHAPES = (
+    r"^\d{4}$", r"^\d{5}$", r"^\d{6}$", r"^\d{5}-\d{4}$", r"^\d{5}-\d{3}$", r"^\d{4}-\d{3}$",
+    r"^\d{4} ?[A-Z]{2}$", r"^[A-Z]\d[A-Z] ?\d[A-Z]\d$", r"^[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2}$",
+)
 
 
-POSTCODE_SHAPES = (r"^\d{5}(-\d{4})?$", r"^[A-Z]\d[A-Z] ?\d[A-Z]\d$", r"^[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2}$", r"^\d{4}$", r"^\d{3} ?\d{2}$")
+def postcode_of(c: Column) -> Column:
+    """Upper case with single blanks inside."""
+    return F.upper(F.regexp_replace(F.trim(c), r"\s+", " "))
 
 
 def is_postcode(c: Column) -> Column:
-    t = F.upper(F.trim(c))
-    out = F.lit(False)
+    t, out = postcode_of(c), F.lit(False)
     for shape in POSTCODE_SHAPES:
         out = out | t.rlike(shape)
     return out
 
 
 def postcode_variants(c: Column) -> Column:
-    """Upper case, with and without its blanks, and with one before the last three."""
-    t = F.upper(F.trim(c))
-    bare = F.regexp_replace(t, r"\s+", "")
-    spaced = F.when(F.length(bare) >= 5, F.regexp_replace(bare, r"^(.*)(...)$", "$1 $2")).otherwise(bare)
-    return F.array_distinct(F.array(t, bare, spaced))
+    """A postcode's spellings with and without its blank, sorted; null for what has no postcode's shape.
+
+    Letters and digits part after the fourth character in the Netherlands, before the last three elsewhere.
+    """
+    t = postcode_of(c)
+    spaced = F.when(t.rlike(r"^\d{4}[A-Z]{2}$"), F.regexp_replace(t, r"^(....)", "$1 ")).when(
+        F.length(t) >= 5, F.regexp_replace(t, r"^(.*)(...)$", "$1 $2")
+    )
+    other = F.when(t.contains(" "), F.replace(t, F.lit(" "))).when(t.rlike("[A-Z]"), spaced)
+    return F.when(is_postcode(c), F.array_sort(F.array_distinct(F.array_compact(F.array(t, other)))))
+
+
+# Words that begin streets which are numbered, and particles that make a leading number part of a street's name; fixed values.
+LEADING_STREET_TYPES = (
+    "calle", "avenida", "avda", "av", "carrera", "cra", "calzada", "camino",
+    "paseo", "diagonal", "transversal", "autopista", "rua", "rue", "via",
+    "viale", "corso", "strada", "vicolo", "travessa",
+    "route", "highway", "hwy", "interstate", "us",
+)
+LEADING_STREET_PAIRS = (
+    "county road", "county route", "county highway", "state route",
+    "state road", "state highway", "historic route", "old highway",
+    "farm road", "ranch road",
+)
+STREET_PARTICLES = ("de", "del", "di", "du", "des", "da", "do", "la", "le", "el", "of")
+_HOUSE_NUMBER = r"^\d+[A-Za-z]?$"
 
 
 def parse_address(c: Column) -> tuple[Column, Column, Column]:
-    """(number, street, place): the first comma parts street and place; the number leads or trails the street."""
-    street = F.trim(F.substring_index(c, ",", 1))
-    place = F.when(F.instr(c, ",") > 0, F.trim(F.regexp_replace(c, r"^[^,]*,", "")))
-    leading = F.regexp_extract(street, r"^(\d+[A-Za-z]?)\s+\S", 1)
-    trailing = F.regexp_extract(street, r"\S\s+(\d+[A-Za-z]?)$", 1)
-    number = F.when(leading != "", leading).when(trailing != "", trailing)
-    bare = F.when(leading != "", F.regexp_replace(street, r"^\d+[A-Za-z]?\s+", "")).when(
-        trailing != "", F.regexp_replace(street, r"\s+\d+[A-Za-z]?$", "")
-    ).otherwise(street)
-    return number, bare, place
+    """(number, street, place): the first comma parts street and place.
+
+    The number leads the street, unless a particle follows it, or trails it, unless the street begins with a word that numbers streets; it is
+    never all there is.
+    """
+    parts = F.transform(F.split(c, ","), lambda x: F.trim(x))
+    half = F.get(parts, F.lit(0))
+    place = F.array_join(F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x != ""), ", ")
+    words = F.filter(F.split(half, r"\s+"), lambda w: w != "")
+    first, second, last = F.get(words, F.lit(0)), F.get(words, F.lit(1)), F.try_element_at(words, F.lit(-1))
+    several = F.size(words) >= 2
+    numbering = F.lower(first).isin(*LEADING_STREET_TYPES) | F.lower(F.concat_ws(" ", first, second)).isin(*LEADING_STREET_PAIRS)
+    leads = several & first.rlike(_HOUSE_NUMBER) & ~F.lower(second).isin(*STREET_PARTICLES)
+    trails = several & last.rlike(_HOUSE_NUMBER) & ~numbering
+    rest = F.greatest(F.size(words) - 1, F.lit(0))
+    street = F.when(leads, F.array_join(F.slice(words, F.lit(2), rest), " ")).when(trails, F.array_join(F.slice(words, F.lit(1), rest), " "))
+    return F.when(leads, first).when(trails, last), F.coalesce(street, half), F.when(place != "", place)

@@ -19,6 +19,24 @@ def alternate_names(df: DataFrame, names: str = "common", primary: str = "name")
     )
 
 
+def write_name_table(df: DataFrame, path: str) -> None:
+    """The name table: id, name, its folded form, subtype, region, population, sorted by the folded name so that footers prune."""
+    kept = [c for c in ("id", "name", "subtype", "country", "region", "population", "lat", "lon") if c in df.columns]
+    df.select(*kept, X.fold(F.col("name")).alias("folded")).repartitionByRange("folded").sortWithinPartitions("folded").write.mode("overwrite").option(
+        "compression", "zstd"
+    ).parquet(path)
+
+
+def write_alternates(df: DataFrame, path: str, names: str = "common", primary: str = "name") -> None:
+    alternate_names(df, names, primary).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def name_index(df: DataFrame, alternates: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The divisions with the largest known populations, and the alternate names of these alone."""
+    top = df.filter(F.col("name").isNotNull() & (F.col("population") > 0)).orderBy(F.desc("population"), "id").limit(most)
+    return top, alternates.join(top.select("id"), "id", "left_semi")
+
+
 def by_alternate(df: DataFrame, alternates: DataFrame, queries: DataFrame) -> DataFrame:
     """One row per query and id whose alternate spelling folds like the query: best population first, then spelling."""
     hits = queries.select("query", X.fold(F.col("query")).alias("folded")).join(alternates, "folded").join(df, "id")
@@ -72,6 +90,7 @@ def token_weights(taxonomy: DataFrame) -> DataFrame:
     df = tokens.groupBy("token").agg(F.countDistinct("slug").alias("df"))
     stems = df.withColumn("stem", X.stem(F.col("token")))
     widest = stems.withColumn("df", F.max("df").over(Window.partitionBy("stem")))
+    # One row of totals.
     return widest.crossJoin(F.broadcast(n)).select("token", "df", (F.log(F.col("n_all") / F.col("df")) / F.log("n_all")).alias("weight"))
 
 
@@ -89,7 +108,7 @@ def search_categories(taxonomy: DataFrame, query: str) -> DataFrame:
     total = weights.agg(F.sum("weight").alias("total"))
     tokens = taxonomy.select("slug", F.explode(F.array_distinct(F.split("words", r"\s+"))).alias("token"))
     covered = (
-        tokens.join(F.broadcast(weights), "token")
+        tokens.join(weights, "token")
         .groupBy("slug")
         .agg(F.sum("weight").alias("got"), F.max("weight").alias("best"))
         .filter("best >= 0.5")
