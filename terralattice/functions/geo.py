@@ -154,3 +154,19 @@ def covering_cells(lat: Column, lon: Column, reach: float, metres: float) -> Col
         )
 
     return F.array_distinct(F.flatten(F.transform(bands, cells)))
+
+
+def clamped(metres: Column) -> Column:
+    """A radius in [0, 500 km]; what is not finite is 0."""
+    finite = metres.isNotNull() & ~F.isnan(metres) & (F.abs(metres) != F.lit(float("inf")))
+    return F.when(finite, F.least(F.lit(MAX_RADIUS), F.greatest(F.lit(0.0), metres))).otherwise(0.0)
+
+
+def valid_point(lat: Column, lon: Column) -> Column:
+    """Whether both coordinates are there, finite and within range."""
+    return F.coalesce(~F.isnan(lat) & ~F.isnan(lon) & (F.abs(lat) <= 90) & (F.abs(lon) <= 180), F.lit(False))
+
+
+def grid_metres(lat: Column, lon: Column, lat0: float, lon0: float) -> tuple[Column, Column]:
+    """Metres east and north of a point, in the scale of the reach grid: 110,540 m to a degree of latitude."""
+    return (lon - lon0) * (METRES_PER_DEGREE * max(math.cos(math.radians(lat0)), 1e-6)), (lat - lat0) * METRES_PER_DEGREE_GRID

@@ -116,6 +116,59 @@ def ring_centroid(ring: Column) -> Column:
     ).otherwise(vertex(_total(ring, lambda v: v["x"]) / n, _total(ring, lambda v: v["y"]) / n))
 
 
+def centroid(polygon: Column) -> Column:
+    """Area-weighted centre of a polygon without its holes."""
+    parts = F.transform(polygon, lambda r: F.struct(F.abs(signed_area(r)).alias("a"), ring_centroid(r).alias("c")))
+    outer = F.get(parts, F.lit(0))
+    weigh = lambda axis: 2 * outer["a"] * outer["c"][axis] - _total(parts, lambda p: p["a"] * p["c"][axis])
+    whole = 2 * outer["a"] - _total(parts, lambda p: p["a"])
+    return F.when(whole > 0, vertex(weigh("x") / whole, weigh("y") / whole)).otherwise(outer["c"])
+
+
+def dimension(kind: Column) -> Column:
+    """0 for points, 1 for lines, 2 for areas."""
+    return F.when(kind.isin("point", "multipoint"), 0).when(kind.isin("line", "multiline"), 1).when(kind.isin("polygon", "multipolygon"), 2)
+
+
+def span(line: Column) -> Column:
+    """The longer side of a line's box, in degrees."""
+    box = bbox(line)
+    return F.greatest(box["xmax"] - box["xmin"], box["ymax"] - box["ymin"])
+
+
+def nearest_of(points: Column, lat: Column, lon: Column) -> Column:
+    """Place in a list of the nearest point; the first of equally near ones."""
+    away = F.transform(points, lambda p, i: F.struct(haversine(lat, lon, p["y"], p["x"]).alias("d"), i.alias("i")))
+    return F.array_min(away)["i"]
+
+
+def point_along(line: Column, share: Column) -> Column:
+    """The point at a share of a line's length."""
+    legs = F.transform(
+        segments_of(line), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), haversine(s["a"]["y"], s["a"]["x"], s["b"]["y"], s["b"]["x"]).alias("m"))
+    )
+    goal = share * _total(legs, lambda x: x["m"])
+
+    def step(acc: Column, leg: Column) -> Column:
+        here = (goal >= acc["done"]) & (goal <= acc["done"] + leg["m"]) & acc["p"].isNull()
+        t = F.when(leg["m"] > 0, (goal - acc["done"]) / leg["m"]).otherwise(0.0)
+        there = vertex(leg["a"]["x"] + t * (leg["b"]["x"] - leg["a"]["x"]), leg["a"]["y"] + t * (leg["b"]["y"] - leg["a"]["y"]))
+        return F.struct((acc["done"] + leg["m"]).alias("done"), F.when(here, there).otherwise(acc["p"]).alias("p"))
+
+    start = F.struct(F.lit(0.0).alias("done"), F.lit(None).cast(_VERTEX).alias("p"))
+    return F.coalesce(F.aggregate(legs, start, step)["p"], F.element_at(line, -1))
+
+
+def fraction_on(line: Column, lat: Column, lon: Column) -> Column:
+    """Share of a line's length at which it comes nearest to a point."""
+    scale = F.greatest(F.cos(F.radians(lat)), F.lit(1e-9))
+    legs = segments_of(line)
+    metres = F.transform(legs, lambda s: haversine(s["a"]["y"], s["a"]["x"], s["b"]["y"], s["b"]["x"]))
+    best = F.array_min(F.transform(legs, lambda s, i: F.struct(_projected(s, lon, lat, scale)["d2"].alias("d2"), i.alias("i"), _projected(s, lon, lat, scale)["t"].alias("t"))))
+    before = _total(F.slice(metres, F.lit(1), best["i"]), lambda m: m)
+    return (before + best["t"] * F.get(metres, best["i"])) / _total(metres, lambda m: m)
+
+
 def bbox(line: Column) -> Column:
     xs, ys = F.transform(line, lambda v: v["x"]), F.transform(line, lambda v: v["y"])
     return F.struct(
@@ -147,6 +200,11 @@ def closest_point(line: Column, lat: Column, lon: Column) -> Column:
     return F.array_min(found)
 
 
+def planar_distance(line: Column, x: Column, y: Column) -> Column:
+    """Distance of a point from a line in the plane of its coordinates."""
+    return F.sqrt(F.array_min(F.transform(segments_of(line), lambda s: _projected(s, x, y, F.lit(1.0))["d2"])))
+
+
 def distance_to_line(line: Column, lat: Column, lon: Column) -> Column:
     p = closest_point(line, lat, lon)
     return haversine(lat, lon, p["y"], p["x"])
@@ -223,6 +281,22 @@ def encode_wkb_polygon(rings: list[list[tuple[float, float]]]) -> bytes:
     return out
 
 
+def wkt_line(line: Column) -> Column:
+    return F.concat(F.lit("LINESTRING ("), F.array_join(F.transform(line, lambda v: F.concat_ws(" ", v["x"].cast("string"), v["y"].cast("string"))), ", "), F.lit(")"))
+
+
+def geojson_line(line: Column) -> Column:
+    """A line as GeoJSON text."""
+    return F.to_json(F.struct(F.lit("LineString").alias("type"), F.transform(line, lambda v: F.array(v["x"], v["y"])).alias("coordinates")))
+
+
+@F.pandas_udf(T.BinaryType())
+def wkb_line(lines: pd.Series) -> pd.Series:
+    return lines.map(
+        lambda line: None if line is None else struct.pack("<BII", 1, 2, len(line)) + b"".join(struct.pack("<dd", v["x"], v["y"]) for v in line)
+    )
+
+
 def parse_wkt_line(c: Column) -> Column:
     """Vertices of LINESTRING(x y, x y, ...)."""
     body = F.regexp_extract(c, r"\(([^()]*)\)", 1)
@@ -241,21 +315,41 @@ def parse_geojson_line(c: Column) -> Column:
 
 
 def hull_of(points) -> list[tuple[float, float]]:
-    """Convex hull by the monotone chain, counter-clockwise from the lowest x; empty below three corners."""
-    points = sorted(set(points))
+    """Corners of the convex hull, counter-clockwise from the lowest x; empty if the points are on one line.
+
+    The two chains are found by splitting: the point farthest to the right of a line is a corner, and what lies beyond its two sides goes on.
+    """
+    p = np.unique(np.array(list(points), float).reshape(-1, 2), axis=0)
+    if len(p) < 3:
+        return []
+    out, todo = [], [(p[0], p[-1], p), (p[-1], p[0], p)]
+    while todo:
+        a, b, some = todo.pop(0)
+        off = (b[0] - a[0]) * (some[:, 1] - a[1]) - (b[1] - a[1]) * (some[:, 0] - a[0])
+        beyond, off = some[off < 0], off[off < 0]
+        if not len(beyond):
+            out.append(a)
+            continue
+        # Of equally far points the one nearest to the start is a corner for sure.
+        far = beyond[np.lexsort((((beyond - a) ** 2).sum(1), off))[0]]
+        todo = [(a, far, beyond), (far, b, beyond), *todo]
+    return [(float(x), float(y)) for x, y in out] if len(out) > 2 else []
 
-    def half(seq):
-        out: list = []
-        for p in seq:
-            while len(out) >= 2 and (
-                (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0
-            ):
-                out.pop()
-            out.append(p)
-        return out[:-1]
 
-    ring = half(points) + half(points[::-1]) if len(points) > 2 else []
-    return ring if len(ring) > 2 else []
+def hulls(df, key: str, x: str, y: str):
+    """key, hull of each key's points.  Tasks send the corners of their own points' hulls; the hull of these is the whole one."""
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, hull {RING}"
+
+    def own(frames):
+        found: dict = {}
+        for frame in frames:
+            for value, part in frame.groupby(key, dropna=False):
+                points = [*found.get(value, []), *zip(part[x], part[y])]
+                found[value] = hull_of(points) or sorted(set(points))[:: max(1, len(set(points)) - 1)]
+        yield pd.DataFrame([(v, [{"x": a, "y": b} for a, b in ring]) for v, ring in found.items()], columns=[key, "hull"])
+
+    parts = df.select(key, x, y).dropna(subset=[x, y]).mapInPandas(own, schema)
+    return parts.groupBy(key).agg(convex_hull(F.flatten(F.collect_list("hull"))).alias("hull"))
 
 
 @F.pandas_udf(RING_TYPE)
@@ -348,6 +442,18 @@ def simplify_to_count(points: list[tuple[float, float]], most: int) -> tuple[lis
     return simplify_line(points, high), high
 
 
+def simplified_within(tolerance: float):
+    """A line without the vertices that lie within a tolerance of it, in the unit of its coordinates."""
+
+    @F.pandas_udf(RING_TYPE)
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(
+            lambda line: None if line is None else [{"x": x, "y": y} for x, y in simplify_line([(v["x"], v["y"]) for v in line], tolerance)]
+        )
+
+    return run
+
+
 def simplified(most: int):
     @F.pandas_udf(RING_TYPE)
     def run(values: pd.Series) -> pd.Series:
@@ -383,3 +489,12 @@ def enclosing_circle(points: list[tuple[float, float]]) -> tuple[float, float, f
                     uy = ((ax * ax + ay * ay) * (cx - bx) + (bx * bx + by * by) * (ax - cx) + (cx * cx + cy * cy) * (bx - ax)) / d
                     consider(ux, uy, math.hypot(ax - ux, ay - uy))
     return best
+
+
+_CIRCLE = T.StructType([T.StructField(c, T.DoubleType()) for c in ("x", "y", "r")])
+
+
+@F.pandas_udf(_CIRCLE)
+def enclosing(values: pd.Series) -> pd.DataFrame:
+    """x, y, r of the smallest circle around each list of a few points."""
+    return pd.DataFrame([enclosing_circle([(v["x"], v["y"]) for v in points]) for points in values], columns=["x", "y", "r"])

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 CONFIRMED, STRETCHED = 1.15, 1.5
 
@@ -42,19 +38,42 @@ def trust_note(confidence: Column, status: Column) -> Column:
     )
 
 
-@F.pandas_udf(T.LongType())
-def json_tokens(rows: pd.DataFrame) -> pd.Series:
-    """Quarter of the length of a row's JSON with ', ' and ': ' between its parts, nulls left out."""
-    return pd.Series(
-        [len(json.dumps({k: v for k, v in r.items() if v is not None and v == v}, default=str)) // 4 for r in rows.to_dict("records")]
-    )
+#: Fields that a row gives up, in this order, where it alone is over the budget; fixed values.
+OPTIONAL_FIELDS = ("confidence", "operating_status", "category", "basic_category", "trust_note")
+
+
+def json_length(columns: list[str]) -> Column:
+    """Characters of a row's JSON with ', ' and ': ' between its parts, nulls left out."""
+    there = F.size(F.filter(F.array(*(F.col(c).isNotNull() for c in columns)), lambda x: x))
+    # to_json writes no blanks: one comes after each colon and each comma.
+    return F.length(F.to_json(F.struct(*columns))) + F.greatest(2 * there - 1, F.lit(0))
+
+
+def compact_json(columns: list[str], df: DataFrame) -> Column:
+    """A row as JSON without its nulls and empty lists."""
+    filled = lambda c: F.when(F.size(F.col(c)) > 0, F.col(c)) if df.schema[c].dataType.typeName() == "array" else F.col(c)
+    return F.to_json(F.struct(*(filled(c).alias(c) for c in columns)))
 
 
 def fit_budget(df: DataFrame, order: list[str], tokens: int, by: list[str] | None = None) -> DataFrame:
-    """The leading rows whose JSON sizes sum up to the budget; later rows fall out."""
-    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sized = df.withColumn("_tokens", json_tokens(F.struct(*df.columns)))
-    return sized.withColumn("_sum", F.sum("_tokens").over(w)).filter(F.col("_sum") <= tokens).drop("_tokens", "_sum")
+    """The leading rows whose JSON list fits the budget of four characters a token, one at least.
+
+    Where the first row alone is too long, it gives up its optional fields, one after another, until it fits.  Rows are those of one ranked
+    answer, or of one per key in ``by``.
+    """
+    w = Window.partitionBy(*by) if by else Window.partitionBy()
+    ranked = w.orderBy(*order)
+    size = json_length(df.columns)
+    sized = df.withColumns({"_n": F.row_number().over(ranked), "_size": size})
+    # Brackets, the rows, and ', ' between them.
+    kept = sized.withColumn("_sum", F.sum(F.col("_size") + 2).over(ranked.rowsBetween(Window.unboundedPreceding, 0))).filter(
+        (F.floor(F.col("_sum") / 4) <= tokens) | (F.col("_n") == 1)
+    )
+    for field in [f for f in OPTIONAL_FIELDS if f in df.columns]:
+        over = F.floor((F.col("_size") + 2) / 4) > tokens
+        shorter = F.when(over, F.lit(None)).otherwise(F.col(field))
+        kept = kept.withColumn(field, shorter).withColumn("_size", json_length(df.columns))
+    return kept.select(*df.columns)
 
 
 def truncated(c: Column, most: int = 5) -> tuple[Column, Column]:
@@ -68,6 +87,23 @@ def checklist(nearest: DataFrame, near: float, far: float) -> DataFrame:
     return nearest.withColumn("verdict", verdict)
 
 
+#: Words of a context that tell how someone moves, in the order in which they are looked for; fixed values.
+MOBILITY = {
+    "walk": ("no car", "without a car", "car-free", "carless", "car free"),
+    "cycle": ("bike", "cycle", "cycling", "bicycle", "biking"),
+    "drive": ("car", "drive", "driving"),
+}
+
+
+def mobility(context: Column) -> Column:
+    """walk, cycle or drive by whole words of a context; walk if it says nothing."""
+    out = F
+    for mode, words in MOBILITY.items():
+        said = F.lower(context).rlike("(?<![a-z])(?:" + "|".join(words) + ")(?![a-z])")
+        out = out.when(said, mode)
+    return out.otherwise("walk")
+
+
 def straight_minutes(metres: Column, mode: str) -> Column:
     """Minutes along a straight line at the mode's speed."""
     return metres / F.lit({"walk": 1.4, "cycle": 4.2, "drive": 8.0}[mode] * 60)

@@ -84,6 +84,12 @@ def weighted_verdict(values: DataFrame) -> DataFrame:
     return ranked.withColumn("winner", at_top & (F.count_if(at_top).over(every) == 1)).drop("top")
 
 
+def margin(scored: DataFrame) -> DataFrame:
+    """How far the best area's score lies above the lowest, on every row; one row per area."""
+    every = Window.partitionBy()
+    return scored.withColumn("margin", F.round(F.max("score").over(every) - F.min("score").over(every), 3))
+
+
 def building_summary(df: DataFrame) -> DataFrame:
     """One row over (subtype, height, num_floors, area_m2): counts, areas, what is known, means of what is known."""
     known = lambda c: F.round(F.count(c) / F.count(F.lit(1)), 3)
