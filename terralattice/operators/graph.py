@@ -11,20 +11,72 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralattice.functions.geo import METRES_PER_DEGREE, covering_cells, grid_cell, haversine
-from terralattice.functions.shape import distance_to_line, length_m, segments_of
+from terralattice.functions.geo import EARTH_RADIUS, METRES_PER_DEGREE, covering_cells, grid_cell, haversine
+from terralattice.functions.shape import RING, closest_point, distance_to_line, hull_of, length_m, segments_of
+from terralattice.sources.scratch import use_checkpoints
 
-# Metres per second by mode and road class, snapping radii, planning factors.
+# Metres per second by mode and road class, classes that a mode cannot use, snapping radii, planning factors, largest radii.
 WALK, CYCLE, DRIVE_DEFAULT = 1.4, 4.2, 8.0
-CLASS_SPEED = {"motorway": 29.0, "primary": 18.0, "secondary": 14.0, "residential": 8.0, "service": 5.0}
-SNAP_NEAR, SNAP_FAR, SNAP_COMPONENT = 300.0, 1200.0, 5
+CLASS_SPEED = {
+    "motorway": 27.0,
+    "motorway_link": 20.0,
+    "trunk": 24.0,
+    "trunk_link": 18.0,
+    "primary": 13.0,
+    "primary_link": 11.0,
+    "secondary": 11.0,
+    "secondary_link": 9.0,
+    "tertiary": 9.0,
+    "tertiary_link": 8.0,
+    "residential": 8.0,
+    "living_street": 4.0,
+    "service": 5.0,
+    "unclassified": 8.0,
+}
+EXCLUDED = {
+    "walk": ("motorway", "motorway_link", "trunk", "trunk_link"),
+    "cycle": ("motorway", "motorway_link", "trunk", "trunk_link"),
+    "drive": ("footway", "path", "steps", "pedestrian", "cycleway"),
+}
+MAX_RADIUS = {"walk": 5000.0, "cycle": 15000.0, "drive": 60000.0}
+PADDING, SNAP_NEAR, SNAP_FAR, SNAP_COMPONENT = 1.25, 300.0, 1200.0, 5
+MAX_SPAN = {mode: 2 * (radius - SNAP_NEAR) / PADDING for mode, radius in MAX_RADIUS.items()}
 DETOUR = 1.4
+CELL_METRES, CELL_SHARE, CONCAVE_FROM = 60.0, 40, 8
+SEED_STEPS = 20
 MPH, KMH = 0.44704, 1 / 3.6
 
 
 def speed_limit(value: Column, unit: Column) -> Column:
     """A posted limit in m/s; km/h unless it says mph."""
-    return value * F.when(F.lower(unit) == "mph", MPH).otherwise(KMH)
+    return value * F.when(F.lower(F.trim(unit)).isin("mph", "mi/h"), MPH).otherwise(KMH)
+
+
+def posted_limit(limits: Column) -> Column:
+    """The slowest limit (max_speed struct<value,unit>, between) of a whole segment, in m/s; those of a part of it don't count."""
+    whole = F.filter(limits, lambda x: F.coalesce(F.size(x["between"]) <= 0, F.lit(True)) & (x["max_speed"]["value"] > 0))
+    return F.array_min(F.transform(whole, lambda x: speed_limit(x["max_speed"]["value"], x["max_speed"]["unit"])))
+
+
+def allowed(df: DataFrame, mode: str) -> DataFrame:
+    """Streets that a mode can use: roads, where the subtype is known, of a class that is not excluded; unknown ones stay."""
+    if "subtype" in df.columns:
+        df = df.filter(F.col("subtype").isNull() | (F.col("subtype") == "road"))
+    return df.filter(F.col("class").isNull() | ~F.col("class").isin(*EXCLUDED[mode]))
+
+
+def directions(restrictions: Column, mode: str) -> tuple[Column, Column]:
+    """Whether a segment may be used along and against its direction, by its denied access (access_type, when struct<heading, mode>)."""
+    tokens = {"cycle": ("bicycle",), "drive": ("motorVehicle", "car", "hgv", "motorcycle")}.get(mode)
+    if tokens is None:
+        return F.lit(True), F.lit(True)
+    meant = F.filter(
+        F.coalesce(restrictions, F.array()),
+        lambda r: (r["access_type"] == "denied")
+        & (F.coalesce(F.size(r["when"]["mode"]) <= 0, F.lit(True)) | F.arrays_overlap(r["when"]["mode"], F.array(*map(F.lit, tokens)))),
+    )
+    closed = lambda other: F.exists(meant, lambda r: ~F.coalesce(r["when"]["heading"] == other, F.lit(False)))
+    return ~closed("backward"), ~closed("forward")
 
 
 def from_segments(segments: DataFrame) -> DataFrame:
@@ -56,7 +108,11 @@ def from_segments(segments: DataFrame) -> DataFrame:
 
 
 def costs(edges: DataFrame, mode: str, class_speed: dict[str, float] | None = None) -> DataFrame:
-    """Directed src, dst, seconds of edges with metres, class, oneway; walking goes against one-ways."""
+    """Directed src, dst, seconds, metres of edges with metres, class, oneway, and a posted limit if there is one.
+
+    Classes that the mode cannot use are left out; walking goes against one-ways.  Of several edges the fastest stays.
+    """
+    edges = allowed(edges, mode)
     if mode == "walk":
         seconds = F.col("metres") / WALK
     elif mode == "cycle":
@@ -68,17 +124,10 @@ def costs(edges: DataFrame, mode: str, class_speed: dict[str, float] | None = No
         if "limit" in edges.columns:
             speed = F.coalesce("limit", speed)
         seconds = F.col("metres") / speed
-    there = edges.select("src", "dst", seconds.alias("seconds"), "oneway")
+    there = edges.select("src", "dst", F.struct(seconds.alias("seconds"), "metres").alias("cost"), "oneway")
     back = there if mode == "walk" else there.filter(~F.coalesce("oneway", F.lit(False)))
-    both = there.select("src", "dst", "seconds").unionAll(back.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "seconds"))
-    return both.groupBy("src", "dst").agg(F.min("seconds").alias("seconds"))
-
-
-def _checkpoint_dir(spark) -> None:
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terralattice-cp-"))
+    both = there.select("src", "dst", "cost").unionAll(back.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"))
+    return both.groupBy("src", "dst").agg(F.min("cost").alias("cost")).select("src", "dst", "cost.seconds", "cost.metres")
 
 
 def reachable(directed: DataFrame, sources: DataFrame, seconds: float) -> DataFrame:
@@ -86,11 +135,12 @@ def reachable(directed: DataFrame, sources: DataFrame, seconds: float) -> DataFr
 
     Lineage is cut with checkpoint(), which survives lost executors.
     """
-    _checkpoint_dir(directed.sparkSession)
-    directed = directed.checkpoint()
+    use_checkpoints(directed.sparkSession)
+    directed = directed.select("src", "dst", "seconds").checkpoint()
     best = sources.select("origin", "node", F.lit(0.0).alias("seconds")).distinct().checkpoint()
     front = best
     while not front.isEmpty():
+        # Only nodes that got cheaper go on, and only if the budget holds.
         step = (
             front.join(directed.withColumnRenamed("seconds", "w"), F.col("node") == F.col("src"))
             .select("origin", F.col("dst").alias("node"), (F.col("seconds") + F.col("w")).alias("seconds"))
@@ -113,7 +163,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     labels = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("component")).withColumnRenamed("src", "node")
-    _checkpoint_dir(edges.sparkSession)
+    use_checkpoints(edges.sparkSession)
     labels = labels.checkpoint()
     while True:
         offered = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("offer"))
@@ -131,18 +181,169 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def search_tree(directed: DataFrame, best: DataFrame) -> DataFrame:
+    """origin, node, before: the node before each reached one on a fastest way; of several the least."""
+    arrived = (
+        directed.select("src", "dst", F.col("seconds").alias("w"))
+        .join(best.withColumnRenamed("node", "src"), "src")
+        .select("origin", F.col("dst").alias("node"), F.col("src").alias("before"), (F.col("seconds") + F.col("w")).alias("arrival"))
+    )
+    on_time = best.filter("seconds > 0").join(arrived, ["origin", "node"]).filter(F.col("arrival") == F.col("seconds"))
+    return on_time.groupBy("origin", "node").agg(F.min("before").alias("before"))
+
+
+def paths(tree: DataFrame, targets: DataFrame) -> DataFrame:
+    """origin, destination, node: the nodes of the way from each origin to each (origin, destination) asked for.
+
+    Ways grow by doubling: in each round all nodes found so far jump twice as far back, so a way of n nodes takes log n rounds.
+    """
+    use_checkpoints(tree.sparkSession)
+    jumps = tree.checkpoint()
+    found = targets.select("origin", "destination", F.col("destination").alias("node")).distinct().checkpoint()
+    size = found.count()
+    while True:
+        back = found.join(jumps, ["origin", "node"]).select("origin", "destination", F.col("before").alias("node"))
+        found = found.unionAll(back).distinct().checkpoint()
+        before, size = size, found.count()
+        if size == before:
+            return found
+        further = jumps.select("origin", F.col("node").alias("before"), F.col("before").alias("far"))
+        jumps = jumps.join(further, ["origin", "before"]).select("origin", "node", F.col("far").alias("before")).checkpoint()
+
+
+def fastest_paths(directed: DataFrame, pairs: DataFrame, budget: float = math.inf) -> DataFrame:
+    """origin, destination, step, node, seconds, metres of the fastest ways of pairs; a pair without one has no rows."""
+    origins = pairs.select("origin", F.col("origin").alias("node")).distinct()
+    best = reachable(directed, origins, budget)
+    asked = pairs.select("origin", "destination").distinct().join(best.withColumnRenamed("node", "destination"), ["origin", "destination"], "left_semi")
+    tree = search_tree(directed, best)
+    order = Window.partitionBy("origin", "destination").orderBy("seconds", "node")
+    edge = directed.select(F.col("src").alias("before"), F.col("dst").alias("node"), F.col("metres").alias("_m"))
+    on = paths(tree, asked).join(best, ["origin", "node"]).join(tree, ["origin", "node"], "left").join(edge, ["before", "node"], "left")
+    return on.select(
+        "origin",
+        "destination",
+        (F.row_number().over(order) - 1).alias("step"),
+        "node",
+        "seconds",
+        F.sum(F.coalesce("_m", F.lit(0.0))).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("metres"),
+    )
+
+
 def snap(points: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, node, distance: the nearest node within 300 m of a component of five or more, else within 1200 m of one.
+    """id, node, distance: where a point meets the graph.
 
-    ``nodes`` has node, lat, lon, size (of its component).
+    Within 300 m the nearest node of a component of five nodes or more, or of the largest one; else, up to 1200 m, the nearest of a
+    component of five or more.  ``nodes`` has node, lat, lon, and its component and the component's size.
     """
+    largest = nodes.select("component", "size").distinct().orderBy(F.desc("size"), "component").limit(1).select(F.col("component").alias("_main"))
     a = points.select("id", "lat", "lon").withColumn("_cell", F.explode(covering_cells(F.col("lat"), F.col("lon"), SNAP_FAR, SNAP_FAR)))
-    b = nodes.filter(F.col("size") >= SNAP_COMPONENT).select(
-        "node", F.col("lat").alias("_a"), F.col("lon").alias("_b"), grid_cell(F.col("lat"), F.col("lon"), SNAP_FAR).alias("_cell")
+    b = nodes.join(F.broadcast(largest), F.col("component") == F.col("_main"), "left").select(
+        "node",
+        "size",
+        F.col("_main").isNotNull().alias("main"),
+        F.col("lat").alias("_a"),
+        F.col("lon").alias("_b"),
+        grid_cell(F.col("lat"), F.col("lon"), SNAP_FAR).alias("_cell"),
     )
     near = a.join(b, "_cell").withColumn("distance", haversine(F.col("lat"), F.col("lon"), F.col("_a"), F.col("_b")))
-    order = Window.partitionBy("id").orderBy("distance", "node")
-    return near.filter(F.col("distance") <= SNAP_FAR).withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("id", "node", "distance")
+    usable = (F.col("size") >= SNAP_COMPONENT) | (F.col("main") & (F.col("distance") <= SNAP_NEAR))
+    best = F.min(F.struct((F.col("distance") > SNAP_NEAR).alias("far"), "distance", "node"))
+    return near.filter((F.col("distance") <= SNAP_FAR) & usable).groupBy("id").agg(best.alias("b")).select("id", "b.node", "b.distance")
+
+
+def route(directed: DataFrame, nodes: DataFrame, trips: DataFrame, mode: str) -> DataFrame:
+    """id, status, duration, distance of trips (id, from_lat, from_lon, to_lat, to_lon).
+
+    A trip is too_long beyond the mode's span, has no_graph where an end meets no street, no_route where nothing joins them, else is ok.
+    """
+    span = haversine(F.col("from_lat"), F.col("from_lon"), F.col("to_lat"), F.col("to_lon"))
+    known = trips.withColumn("long", span > MAX_SPAN[mode])
+    ends = lambda side: snap(
+        known.filter("NOT long").select("id", F.col(f"{side}_lat").alias("lat"), F.col(f"{side}_lon").alias("lon")), nodes
+    ).select("id", F.col("node").alias({"from": "origin", "to": "destination"}[side]))
+    snapped = known.select("id", "long").join(ends("from"), "id", "left").join(ends("to"), "id", "left")
+    use_checkpoints(directed.sparkSession)
+    snapped = snapped.checkpoint()
+    pairs = snapped.filter("origin IS NOT NULL AND destination IS NOT NULL").select("origin", "destination").distinct()
+    last = fastest_paths(directed, pairs).filter("node = destination").select("origin", "destination", "seconds", "metres")
+    status = (
+        F.when(F.col("long"), "too_long").when(F.col("origin").isNull() | F.col("destination").isNull(), "no_graph")
+        .when(F.col("seconds").isNull(), "no_route").otherwise("ok")
+    )
+    return snapped.join(last, ["origin", "destination"], "left").select(
+        "id", status.alias("status"), F.col("seconds").alias("duration"), F.col("metres").alias("distance")
+    )
+
+
+def isochrone(directed: DataFrame, nodes: DataFrame, points: DataFrame, seconds: float) -> DataFrame:
+    """id, reachable_nodes, max_radius, method, area_km2, ring of points (id, lat, lon): what is reached within a time.
+
+    The ring is the longest loop around the occupied cells of a grid at the point, of max(60 m, radius / 40), within the reached nodes' box, or
+    the convex hull below eight nodes.  At that cell size a point has at most some thousands of cells, so a group is bounded.
+    """
+    ends = snap(points, nodes).select("id", F.col("node").alias("origin"))
+    best = reachable(directed, ends.select("origin", F.col("origin").alias("node")).distinct(), seconds)
+    at = nodes.select("node", F.col("lat").alias("y"), F.col("lon").alias("x"))
+    reached = ends.join(best, "origin").join(at, "node").join(points.select("id", "lat", "lon"), "id")
+    away = haversine(F.col("lat"), F.col("lon"), F.col("y"), F.col("x"))
+    totals = reached.groupBy("id").agg(
+        F.count(F.lit(1)).alias("reachable_nodes"), F.max(away).alias("max_radius"),
+        F.min("x").alias("xmin"), F.max("x").alias("xmax"), F.min("y").alias("ymin"), F.max("y").alias("ymax"),
+    )
+    cell = F.greatest(F.lit(CELL_METRES), F.col("max_radius") / CELL_SHARE)
+    high, wide = cell / 110540.0, cell / (F.lit(METRES_PER_DEGREE) * F.greatest(F.cos(F.radians("lat")), F.lit(1e-6)))
+    few = F.col("reachable_nodes") < CONCAVE_FROM
+    spots = reached.join(totals, "id").select(
+        "id", "lat", "lon", "reachable_nodes", "max_radius", "xmin", "xmax", "ymin", "ymax", wide.alias("wide"), high.alias("high"),
+        F.when(few, F.col("x")).otherwise(F.floor((F.col("x") - F.col("lon")) / wide).cast("double")).alias("cx"),
+        F.when(few, F.col("y")).otherwise(F.floor((F.col("y") - F.col("lat")) / high).cast("double")).alias("cy"),
+    ).distinct()
+
+    def outline(group: pd.DataFrame) -> pd.DataFrame:
+        one = group.iloc[0]
+        if one["reachable_nodes"] < CONCAVE_FROM:
+            method, ring = "convex_hull", hull_of(zip(group["cx"], group["cy"]))
+        else:
+            loop = longest_loop({(int(a), int(b)) for a, b in zip(group["cx"], group["cy"])})
+            clamp = lambda v, low, high: min(max(v, low), high)
+            method = "concave_boundary"
+            ring = [
+                (clamp(one["lon"] + a * one["wide"], one["xmin"], one["xmax"]), clamp(one["lat"] + b * one["high"], one["ymin"], one["ymax"]))
+                for a, b in loop
+            ]
+        scale = METRES_PER_DEGREE * max(math.cos(math.radians(one["lat"])), 1e-6) * 110540.0 / 1e6
+        x, y = [p[0] - one["lon"] for p in ring], [p[1] - one["lat"] for p in ring]
+        area = abs(sum(x[i - 1] * y[i] - x[i] * y[i - 1] for i in range(len(ring)))) / 2 * scale
+        return pd.DataFrame(
+            {"id": [one["id"]], "reachable_nodes": [one["reachable_nodes"]], "max_radius": [one["max_radius"]], "method": [method],
+             "area_km2": [area], "ring": [[{"x": a, "y": b} for a, b in ring]]}
+        )
+
+    return spots.groupBy("id").applyInPandas(
+        outline, f"id {points.schema['id'].dataType.simpleString()}, reachable_nodes long, max_radius double, method string, area_km2 double, ring {RING}"
+    )
+
+
+def longest_loop(cells: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest closed way along the sides of cells that border on empty ones, with the cells on its left; open at its end."""
+    sides = {}
+    for a, b in cells:
+        for (dx, dy), start, end in (
+            ((0, -1), (a, b), (a + 1, b)), ((1, 0), (a + 1, b), (a + 1, b + 1)), ((0, 1), (a + 1, b + 1), (a, b + 1)), ((-1, 0), (a, b + 1), (a, b)),
+        ):
+            if (a + dx, b + dy) not in cells:
+                sides.setdefault(start, []).append(end)
+    best: list[tuple[int, int]] = []
+    for start in sorted(sides):
+        while sides.get(start):
+            way, here = [start], sides[start].pop(0)
+            while here != start:
+                way.append(here)
+                here = sides[here].pop(0)
+            if len(way) > len(best):
+                best = way
+    return best
 
 
 # --- searches on an extracted subgraph -----------------------------------------------------------
@@ -223,6 +424,32 @@ def best_tour(cost: list[list[float]], round_trip: bool) -> tuple[float, tuple[i
     return min((e for e in ends if e[0] <= least + 1e-6), key=lambda e: e[1])
 
 
+def optimise(directed: DataFrame, stops: DataFrame, mode: str, round_trip: bool = True) -> DataFrame:
+    """tour, seconds, estimated: the best order of two to ten stops (id is a node, lat, lon), from the least id on.
+
+    A leg that the graph does not join is taken as 1.4 times the straight line at the mode's speed, and counted in ``estimated``.
+    """
+    speed = {"walk": WALK, "cycle": CYCLE}.get(mode, DRIVE_DEFAULT)
+    there = stops.select(F.col("id").alias("destination"), F.col("lat").alias("_a"), F.col("lon").alias("_b"))
+    # At most ten stops each way.
+    pairs = stops.select(F.col("id").alias("origin"), "lat", "lon").crossJoin(F.broadcast(there)).filter("origin <> destination")
+    guess = DETOUR * haversine(F.col("lat"), F.col("lon"), F.col("_a"), F.col("_b")) / speed
+    legs = pairs.join(one_to_many(directed, pairs.select("origin", "destination")), ["origin", "destination"]).select(
+        F.lit(1).alias("trip"), "origin", "destination", F.coalesce("seconds", guess).alias("s"), F.col("seconds").isNull().alias("guessed")
+    )
+
+    def tour(group: pd.DataFrame) -> pd.DataFrame:
+        ids = sorted(set(group["origin"]))
+        cost = {(a, b): s for a, b, s in zip(group["origin"], group["destination"], group["s"])}
+        guessed = {(a, b) for a, b, g in zip(group["origin"], group["destination"], group["guessed"]) if g}
+        total, order = best_tour([[0.0 if a == b else cost[a, b] for b in ids] for a in ids], round_trip)
+        way = [ids[k] for k in order]
+        used = list(zip(way, [*way[1:], way[0]] if round_trip else way[1:]))
+        return pd.DataFrame({"tour": [",".join(map(str, way))], "seconds": [total], "estimated": [sum(leg in guessed for leg in used)]})
+
+    return legs.groupBy("trip").applyInPandas(tour, "tour string, seconds double, estimated long")
+
+
 def corridor(places: DataFrame, line: Column, metres: float, k: int | None = None) -> DataFrame:
     """id, offset, along, detour = 2 x offset of places within a distance of a polyline, in travel order; k evenly spread rows at most."""
     legs = F.posexplode(segments_of(line)).alias("leg", "s")
@@ -240,8 +467,6 @@ def corridor(places: DataFrame, line: Column, metres: float, k: int | None = Non
         F.col("lon").between(F.array_min(xs) - reach, F.array_max(xs) + reach) & F.col("lat").between(F.array_min(ys) - reach, F.array_max(ys) + reach),
     )
     offset = distance_to_line(F.col("piece"), F.col("lat"), F.col("lon"))
-    from terralattice.functions.shape import closest_point
-
     along = F.col("start") + closest_point(F.col("piece"), F.col("lat"), F.col("lon"))["t"] * F.col("m")
     found = boxed.select("id", offset.alias("offset"), along.alias("along")).filter(F.col("offset") <= metres)
     best = found.groupBy("id").agg(F.min(F.struct("offset", "along")).alias("b")).select("id", "b.offset", "b.along")
@@ -262,6 +487,24 @@ def even_sample(df: DataFrame, k: int, order: list[str]) -> DataFrame:
     return ranked.filter((F.col("_n") <= k) | F.array_contains(wanted, F.col("_i"))).drop("_i", "_n")
 
 
+def meeting_seed(origins: list[tuple[float, float, float]]) -> tuple[float, float]:
+    """lat, lon of a fair place for origins (lat, lon, metres per second): from their mean, ever shorter steps towards whoever is worst off."""
+    lat = sum(o[0] for o in origins) / len(origins)
+    turn = [sum(f(math.radians(o[1])) for o in origins) for f in (math.sin, math.cos)]
+    wrap = lambda x: (x + 180.0) % 360.0 - 180.0
+    lon = wrap(math.degrees(math.atan2(*turn)) if any(turn) else sum(o[1] for o in origins) / len(origins))
+
+    def seconds(o):
+        a = math.sin(math.radians(o[0] - lat) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(o[0])) * math.sin(math.radians(o[1] - lon) / 2) ** 2
+        return 2 * EARTH_RADIUS * math.asin(math.sqrt(min(1.0, a))) / o[2]
+
+    for i in range(SEED_STEPS):
+        worst, step = max(origins, key=seconds), 0.5 * 0.85**i
+        lat += (worst[0] - lat) * step
+        lon = wrap(lon + wrap(worst[1] - lon) * step)
+    return lat, lon
+
+
 def meeting_rank(legs: DataFrame) -> DataFrame:
     """place, worst, spread, total, rank from (place, origin, seconds): places some origin cannot reach fall out; fairest first."""
     per = legs.groupBy("place").agg(

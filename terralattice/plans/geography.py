@@ -148,6 +148,22 @@ def road_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A street per order: a straight line with its parts as connectors at even distances, in the middle if there is but one."""
+    from pyspark.sql import Window
+
+    every = Window.partitionBy("l_orderkey")
+    order = every.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    n = F.count(F.lit(1)).over(every)
+    at = F.when(n == 1, F.lit(0.5)).otherwise((F.row_number().over(order) - 1) / (n - 1))
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.struct(at.cast("double").alias("at"), F.col("l_partkey").cast("string").alias("connector_id")).alias("c"), "l_returnflag"
+    )
+    streets = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list("c")).alias("connectors"), F.min("l_returnflag").alias("class"))
+    lon, lat = key_lon(F.col("id")), key_lat(F.col("id"))
+    return streets.withColumn("line", F.array(vertex(lon, lat), vertex(lon + 0.01, lat + 0.005)))
+
+
 def releases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     base = places(spark, sf_dir).select("id", "name", "category", "confidence", "lat", "lon")
     before = base.filter("id % 10 <> 0")
