@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terralattice.functions.geo import covering_cells, grid_cell, haversine, point_in_box, radius_box, split_at_seam
 from terralattice.functions.text import contains_ci
+from terralattice.sources.scratch import use_checkpoints
 
 MAX_ROWS = 25
 DEDUP_METRES = 150.0
@@ -142,28 +143,119 @@ def drop_doubles(df: DataFrame, metres: float = DEDUP_METRES) -> DataFrame:
     return df.filter(~F.col("supplementary")).unionByName(kept)
 
 
-def nearest_join(left: DataFrame, right: DataFrame, metres: float, k: int = 1) -> DataFrame:
-    """For every left row (id, lat, lon) its k nearest right rows within a radius: near_id, distance, rank.
-
-    Both sides meet on grid cells of the radius's size, so no side is broadcast and no cross join is made.
-    """
-    from pyspark.sql import Window
-
+def pairs_within(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
+    """id, near_id, distance of all pairs within a radius.  Both sides meet on grid cells of its size: no cross join."""
     a = left.select("id", "lat", "lon").withColumn("_cell", F.explode(covering_cells(F.col("lat"), F.col("lon"), metres, metres)))
     b = right.select(
         F.col("id").alias("near_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"),
         grid_cell(F.col("lat"), F.col("lon"), metres).alias("_cell"),
     )
-    pairs = (
+    return (
         a.join(b, "_cell")
         .withColumn("distance", haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))
         .filter(F.col("distance") <= metres)
+        .select("id", "near_id", "distance")
     )
+
+
+def nearest_join(left: DataFrame, right: DataFrame, metres: float, k: int = 1, first: float = 200.0, step: float = 5.0) -> DataFrame:
+    """For every left row (id, lat, lon) its k nearest right rows within a radius: near_id, distance, rank.
+
+    Rings widen from ``first`` by ``step`` up to the radius; only rows with fewer than k neighbours go on, so most never see the widest ring.
+    """
+    from pyspark.sql import Window
+
     order = Window.partitionBy("id").orderBy("distance", "near_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("id", "near_id", "distance", "rank")
+    spark = left.sparkSession
+    use_checkpoints(spark)
+    todo, found, reach = left.select("id", "lat", "lon"), None, min(first, metres)
+    while True:
+        ranked = pairs_within(todo, right, reach).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        if reach >= metres:
+            return ranked if found is None else found.unionAll(ranked)
+        ranked = ranked.checkpoint()
+        enough = ranked.filter(F.col("rank") == k).select("id")
+        done = ranked.join(enough, "id", "left_semi")
+        found = done if found is None else found.unionAll(done)
+        todo, reach = todo.join(enough, "id", "left_anti").checkpoint(), min(reach * step, metres)
 
 
 def in_boxes(df: DataFrame, boxes: list[tuple[float, float, float, float]]) -> DataFrame:
     """One bounded scan per box, together; rows in several boxes come once."""
     parts = [df.filter(point_in_box(F.col("lat"), F.col("lon"), b)) for box in boxes for b in split_at_seam(box)]
     return reduce(DataFrame.unionAll, parts).dropDuplicates(["id"])
+
+
+def confident(least: float) -> Column:
+    """Confidence at least this; the bound lies in 0..1, and an unknown confidence fails."""
+    if not 0 <= least <= 1:
+        raise ValueError(f"a confidence lies between 0 and 1, not at {least}")
+    return F.coalesce(F.col("confidence") >= least, F.lit(False))
+
+
+def presence(c: Column, wanted: bool | None) -> Column:
+    """A list that is there (True), is not (False), or either (None)."""
+    return F.lit(True) if wanted is None else present(c) if wanted else ~present(c)
+
+
+def kind_contains(text: str, columns: tuple[str, ...] = ("subtype", "class")) -> Column:
+    """A text inside any of the kinds of a feature."""
+    return reduce(lambda a, b: a | b, (F.coalesce(contains_ci(F.col(c), text), F.lit(False)) for c in columns))
+
+
+def generalised_water(span: Column, dimension: Column | None = None) -> Column:
+    """Oceans, and seas and straits that are areas at least a quarter of a degree wide; unknown kinds are none."""
+    area = F.lit(True) if dimension is None else dimension == 2
+    large = F.coalesce(F.col("class").isin("sea", "strait"), F.lit(False)) & (span >= 0.25) & area
+    return F.coalesce(F.col("subtype") == "ocean", F.lit(False)) | large
+
+
+def unless_unsatisfiable(df: DataFrame, subtype: str | None) -> DataFrame:
+    """Oceans never lie at a distance, so a search for them alone is empty, and no scan is made."""
+    return df.filter(F.lit(False)) if subtype == "ocean" else df
+
+
+def checked_point(lat: float, lon: float) -> tuple[float, float]:
+    """A finite latitude in -90..90 and longitude in -180..180; others are errors that name the field."""
+    import math
+
+    for name, value, most in (("lat", lat, 90.0), ("lon", lon, 180.0)):
+        if isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value) or abs(value) > most:
+            raise ValueError(f"{name} must be a finite number within {most:g}, not {value!r}")
+    return float(lat), float(lon)
+
+
+def planar_nearest(df: DataFrame, lat: float, lon: float, most: int = 500) -> tuple[DataFrame, DataFrame]:
+    """The first rows by planar nearness, name and id; and one row that tells whether there were more."""
+    import math
+
+    dx, dy = (F.col("lon") - lon) * math.cos(math.radians(lat)), F.col("lat") - lat
+    rows = df.withColumn("_near", dy * dy + dx * dx).orderBy("_near", "name", "id")
+    more = rows.limit(most + 1).agg((F.count(F.lit(1)) > most).alias("capped"))
+    return rows.limit(most).drop("_near"), more
+
+
+def truncated(df: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The first rows of an ordered frame, and one row that tells, by one row more, whether some are left out."""
+    return df.limit(most), df.limit(most + 1).agg((F.count(F.lit(1)) > most).alias("truncated"))
+
+
+def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """One row per key: the first in an order."""
+    from pyspark.sql import Window
+
+    ranked = df.withColumn("_first", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.filter("_first = 1").drop("_first")
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """Rows numbered from 1 in an order, without a task that sees them all: sorted ranges, counted, and each range numbered from its offset."""
+    part = f"_{name}_part"
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id())
+    counts = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    from pyspark.sql import Window
+
+    # A row per range, so one task may add them up.
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return ranged.withColumn("_i", inside).join(F.broadcast(offsets.drop("_n")), part).withColumn(name, F.col("_before") + F.col("_i")).drop("_i", "_before", part)
