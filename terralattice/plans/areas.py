@@ -130,15 +130,25 @@ def g03_buildings_nearest(spark, sf_dir):
 
 @query(
     "j03_admin_chain",
-    f"""WITH {CELLS_SQL}, {LAYER_SQL}, f AS (
-      SELECT l.id AS id, c.id AS area_id, c.name AS name FROM layer l JOIN cells c ON l.lon > c.xmin AND l.lon < c.xmax AND l.lat > c.ymin AND l.lat < c.ymax)
-    SELECT id, area_id, name, 1 AS level FROM f""",
+    f"""WITH {CELLS_SQL}, {LAYER_SQL}, a AS (SELECT id, name, xmin, ymin, xmax, ymax FROM cells UNION ALL SELECT -1, 'country', min(xmin), min(ymin), max(xmax), max(ymax) FROM cells),
+    f AS (SELECT l.id AS id, c.id AS area_id, c.name AS name, (c.xmax - c.xmin) * (c.ymax - c.ymin) AS area FROM layer l JOIN a c ON l.lon > c.xmin AND l.lon < c.xmax AND l.lat > c.ymin AND l.lat < c.ymax)
+    SELECT id, area_id, name, CAST(row_number() OVER (PARTITION BY id ORDER BY area, area_id) AS INTEGER) AS level FROM f""",
 )
 def j03_admin_chain(spark, sf_dir):
-    found = D.containing(G.layer(spark, sf_dir), G.cells(spark, sf_dir))
+    """From the cell that holds a point to the country around all cells."""
+    found = D.containing(G.layer(spark, sf_dir), D.with_country(G.cells(spark, sf_dir)))
     return D.chain(found).select("id", "area_id", "name", "level")
 
 
+@query(
+    "s16_grid_lookup",
+    f"""WITH {CELLS_SQL}, {LAYER_SQL}, p AS (SELECT id, (floor(lon / 5e-2) + 5e-1) * 5e-2 AS x, (floor(lat / 5e-2) + 5e-1) * 5e-2 AS y FROM layer)
+    SELECT p.id AS id, min(c.id) AS area_id FROM p LEFT JOIN cells c ON p.x > c.xmin AND p.x < c.xmax AND p.y > c.ymin AND p.y < c.ymax GROUP BY p.id""",
+)
+def s16_grid_lookup(spark, sf_dir):
+    return D.painted_at(G.layer(spark, sf_dir), D.paint(G.cells(spark, sf_dir), size=0.05), 0.05)
+
+
 @query(
     "j04_places_in_division",
     f"""WITH {CELLS_SQL}, {PLACES_SQL} SELECT p.id AS id, c.division_id AS division_id FROM places p
@@ -184,7 +194,7 @@ def j08_grid_paint(spark, sf_dir):
 
 
 _LINES = f"""WITH o AS (SELECT o_orderkey AS id, o_orderstatus AS subtype, {sql_lat('o_orderkey')} AS lat, {sql_lon('o_orderkey')} AS lon,
-    CAST(o_orderkey % 7 - 3 AS DOUBLE) * 1e-3 AS bend FROM orders WHERE o_orderkey % 10 = 0),
+    CAST(o_orderkey % 7 - 3 AS DOUBLE) * 1e-3 AS bend FROM orders),
 v AS (SELECT id, subtype, lon AS ax, lat AS ay, lon + 4e-3 AS bx, lat + bend AS by_ FROM o
       UNION ALL SELECT id, subtype, lon + 4e-3, lat + bend, lon + 8e-3, lat FROM o),
 t AS (SELECT *, least(1e0, greatest(0e0, ((-739e-1 - ax) * s * (bx - ax) * s + (407e-1 - ay) * (by_ - ay))
@@ -216,7 +226,7 @@ def w03_in_range_count(spark, sf_dir):
 
 @query(
     "f21_generalised_water",
-    f"""WITH o AS (SELECT o_orderkey AS id, o_orderstatus AS subtype, o_orderpriority AS class, CAST(o_orderkey % 9 AS DOUBLE) / 20e0 AS span FROM orders WHERE o_orderkey % 10 = 0)
+    f"""WITH o AS (SELECT o_orderkey AS id, o_orderstatus AS subtype, o_orderpriority AS class, CAST(o_orderkey % 9 AS DOUBLE) / 20e0 AS span FROM orders)
     SELECT id FROM o WHERE coalesce(subtype = 'O', false) OR (coalesce(class IN ('5-LOW', '1-URGENT'), false) AND span >= 25e-2)""",
 )
 def f21_generalised_water(spark, sf_dir):

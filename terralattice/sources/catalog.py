@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,17 +71,40 @@ FEATURES = {
 
 
 class Catalog:
-    """Resolves datasets of one release, with per-dataset path overrides."""
-
-    def __init__(self, spark: SparkSession, base: str, release: str, overrides: dict[str, str] | None = None):
-        self.spark, self.base, self.release, self.overrides = spark, base, release, overrides or {}
+    """Resolves datasets of one release.  Overrides are paths by (release, kind): those of another release don't apply.
+
+    Without a release the one in the environment counts, else the newest that is listed, else the pinned one.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, release: str | None = None, overrides: dict[tuple[str, str], str] | None = None, pinned: str = ""):
+        self.spark, self.base, self.overrides, self.failed = spark, base, overrides or {}, {}
+        self.release = release or os.environ.get("TERRALATTICE_RELEASE") or next(iter(self.releases()), pinned)
+
+    def releases(self) -> list[str]:
+        """The releases under the base folder, newest first."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        system = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted_releases(x.getPath().getName() for x in system.listStatus(at)) if system.exists(at) else []
+
+    def where(self, dataset: Dataset) -> str:
+        return self.overrides.get((self.release, dataset.kind)) or dataset.path(self.base, self.release)
+
+    def probe(self, dataset: Dataset) -> T.StructType | None:
+        """The columns that a dataset's files have; None if they cannot be read, which is remembered."""
+        path = self.where(dataset)
+        if path in self.failed:
+            return None
+        try:
+            return self.spark.read.parquet(path).schema
+        except AnalysisException as e:
+            self.failed[path] = str(e)
+            return None
 
     def read(self, dataset: Dataset, paths: Iterable[str] | None = None) -> DataFrame:
         """The dataset with every column it should have; hive partitions are found by Spark, explicit files are read as given."""
         if paths is not None:
             return conform(self.spark.read.parquet(*paths), dataset.columns)
-        where = self.overrides.get(dataset.kind) or dataset.path(self.base, self.release)
-        return conform(self.spark.read.parquet(where), dataset.columns)
+        return conform(self.spark.read.parquet(self.where(dataset)), dataset.columns)
 
 
 def conform(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -117,9 +142,12 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def mirror(df: DataFrame, path: str) -> int:
-    """Copies a table and verifies the number of rows."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    before, after = df.count(), df.sparkSession.read.parquet(path).count()
+    """Copies a table and verifies the number of rows, which are counted as they are written."""
+    from pyspark.sql import Observation
+
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    before, after = written.get["n"], df.sparkSession.read.parquet(path).count()
     if before != after:
         raise OSError(f"{after} rows of {before} arrived in {path}")
     return after

@@ -74,3 +74,120 @@ def files_in_box(manifest: DataFrame, box: tuple[float, float, float, float], fi
     rows = manifest.groupBy(file).agg(F.bool_or(meets).alias("keep")).collect()
     kept = sorted(r[file] for r in rows if r["keep"])
     return kept if 0 < len(kept) < len(rows) else None
+
+
+def parquet_files(spark: SparkSession, path: str) -> list[str]:
+    """The data files under a path, listed through Spark's file system layer."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, listed = [], at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    while listed.hasNext():
+        name = listed.next().getPath().toString()
+        if name.endswith(".parquet") and "/_" not in name.removeprefix(path):
+            found.append(name)
+    return sorted(found)
+
+
+_FOOTERS = "file string, xmin double, ymin double, xmax double, ymax double, n_rows long"
+
+
+def footer_manifest(spark: SparkSession, path: str, bbox: str = "bbox") -> DataFrame:
+    """file, extent and rows of every file, out of the statistics in Parquet footers; a file that lacks any reaches over the world.
+
+    Only footers are read, in tasks of some files each.
+    """
+
+    def read(frames):
+        import pandas as pd
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for frame in frames:
+            rows = []
+            for file in frame["file"]:
+                system, name = fs.FileSystem.from_uri(file.replace("file:/", "file:///", 1) if "://" not in file else file)
+                with system.open_input_file(name) as opened:
+                    meta = pq.ParquetFile(opened).metadata
+                found = {c: [] for c in ("xmin", "ymin", "xmax", "ymax")}
+                for g in range(meta.num_row_groups):
+                    for c in range(meta.num_columns):
+                        chunk = meta.row_group(g).column(c)
+                        field = chunk.path_in_schema.removeprefix(f"{bbox}.")
+                        if chunk.path_in_schema.startswith(f"{bbox}.") and field in found:
+                            known = chunk.statistics is not None and chunk.statistics.has_min_max
+                            found[field].append((chunk.statistics.min, chunk.statistics.max) if known else None)
+                whole = all(v and None not in v for v in found.values())
+                low = lambda c, world: min(x[0] for x in found[c]) if whole else world  # noqa: B023, E731
+                high = lambda c, world: max(x[1] for x in found[c]) if whole else world  # noqa: B023, E731
+                rows.append((file, low("xmin", -180.0), low("ymin", -90.0), high("xmax", 180.0), high("ymax", 90.0), meta.num_rows))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _FOOTERS.split(", ")])
+
+    files = parquet_files(spark, path)
+    listed = spark.createDataFrame([(f,) for f in files], "file string")
+    return listed.repartition(max(1, len(files) // 16)).mapInPandas(read, _FOOTERS) if files else spark.createDataFrame([], _FOOTERS)
+
+
+def pruned_scan(spark: SparkSession, path: str, box: tuple[float, float, float, float], manifest: DataFrame | None = None, bbox: str = "bbox") -> DataFrame:
+    """Features that meet a box, out of the files whose extents do; all files where that leaves none or spares none."""
+    kept = files_in_box(manifest if manifest is not None else footer_manifest(spark, path, bbox), box)
+    df = spark.read.parquet(path) if kept is None else spark.read.option("basePath", path).parquet(*kept)
+    return df.filter(box_meets(bbox, box))
+
+
+def resolve(spark: SparkSession, box: tuple[float, float, float, float], path: str, tiles: str | None = None, manifest: DataFrame | None = None, size: float = TILE, bbox: str = "bbox") -> tuple[str, DataFrame]:
+    """How a box is read, and its features: from tiles if there are all it needs, else from the files that a manifest leaves, else from all."""
+    if tiles is not None and is_cached(spark, tiles, box, size):
+        return "tiles", read_tiles(spark, tiles, box, size, bbox)
+    if manifest is not None and files_in_box(manifest, box) is not None:
+        return "manifest", pruned_scan(spark, path, box, manifest, bbox)
+    return "scan", spark.read.parquet(path).filter(box_meets(bbox, box))
+
+
+def _tile_folder(spark: SparkSession, path: str, tile: tuple[int, int]):
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/tile_x={tile[0]}/tile_y={tile[1]}")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def is_cached(spark: SparkSession, path: str, box: tuple[float, float, float, float], size: float = TILE) -> bool:
+    """Whether every tile of a box has been written."""
+    tiles = tiles_for_box(box, size)
+    return tiles is not None and all(system.exists(at) for system, at in (_tile_folder(spark, path, t) for t in tiles))
+
+
+def prewarm(df: DataFrame, path: str, box: tuple[float, float, float, float], size: float = TILE, bbox: str = "bbox") -> list[tuple[int, int]]:
+    """Writes the tiles of a box that are missing, whole, in one pass over the features that meet them; returns them."""
+    spark = df.sparkSession
+    missing = [t for t in tiles_for_box(box, size) or [] if not (lambda s, at: s.exists(at))(*_tile_folder(spark, path, t))]
+    if missing:
+        import math
+
+        # At most MAX_TILES tiles; the box is widened to their edges for the scan.
+        wanted = spark.createDataFrame(missing, "tile_x int, tile_y int")
+        low, high = (lambda v: math.floor(v / size) * size), (lambda v: (math.floor(v / size) + 1) * size)
+        wide = (low(box[0]), low(box[1]), high(box[2]), high(box[3]))
+        near = with_tiles(df.filter(box_meets(bbox, wide)), size, bbox).join(F.broadcast(wanted), ["tile_x", "tile_y"], "left_semi")
+        near.repartition("tile_x", "tile_y").write.mode("append").option("compression", "zstd").partitionBy("tile_x", "tile_y").parquet(path)
+        for tile in missing:  # a tile without features is there too
+            system, at = _tile_folder(spark, path, tile)
+            system.mkdirs(at)
+    return missing
+
+
+def evict(spark: SparkSession, path: str, most_bytes: int, keep: tuple = ()) -> list[str]:
+    """Removes the tiles that were written longest ago until the rest fits a size; those in ``keep`` are in use and stay."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = []
+    for column in system.listStatus(root):
+        if column.isDirectory():
+            for tile in system.listStatus(column.getPath()):
+                size = system.getContentSummary(tile.getPath()).getLength()
+                folders.append((tile.getModificationTime(), tile.getPath().toString(), size, tile.getPath()))
+    left, gone = sum(f[2] for f in folders), []
+    for _, name, size, at in sorted(folders, key=lambda f: f[:2]):
+        if left <= most_bytes:
+            break
+        if not name.endswith(tuple(f"tile_x={x}/tile_y={y}" for x, y in keep) or ("\0",)):
+            system.delete(at, True)
+            left -= size
+            gone.append(name)
+    return gone
