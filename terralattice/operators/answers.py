@@ -107,3 +107,24 @@ def mobility(context: Column) -> Column:
 def straight_minutes(metres: Column, mode: str) -> Column:
     """Minutes along a straight line at the mode's speed."""
     return metres / F.lit({"walk": 1.4, "cycle": 4.2, "drive": 8.0}[mode] * 60)
+
+
+def feature(properties: list[str], lat: Column, lon: Column) -> Column:
+    """A point as the text of a GeoJSON feature; properties that are null are left out."""
+    return F.to_json(
+        F.struct(
+            F.lit("Feature").alias("type"),
+            F.struct(F.lit("Point").alias("type"), F.array(F.round(lon, 6), F.round(lat, 6)).alias("coordinates")).alias("geometry"),
+            F.struct(*properties).alias("properties"),
+        )
+    )
+
+
+def track_point(lat: Column, lon: Column, name: Column) -> Column:
+    """A point as a GPX way point."""
+    safe = F.replace(F.replace(F.replace(name, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.concat(F.format_string('<wpt lat="%.6f" lon="%.6f"><name>', lat, lon), safe, F.lit("</name></wpt>"))
+
+
+def map_link(lat: Column, lon: Column, zoom: int = 17) -> Column:
+    return F.format_string(f"geo:%.6f,%.6f?z={zoom}", lat, lon)

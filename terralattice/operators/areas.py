@@ -55,7 +55,7 @@ def top_categories(counts: DataFrame, per_area: int = TOP, k: int = 10) -> DataF
 def differentiators(counts: DataFrame) -> DataFrame:
     """category, low, high, difference = (high - low) / high over the areas, absent ones as 0."""
     areas = counts.select("area").distinct()
-    full = areas.crossJoin(counts.select("category").distinct()).join(counts, ["area", "category"], "left")  # areas x categories
+    full = areas.crossJoin(counts.select("category").distinct()).join(counts, ["area", "category"], "left")  # two to five areas
     return (
         full.groupBy("category")
         .agg(F.min(F.coalesce("n", F.lit(0))).alias("low"), F.max(F.coalesce("n", F.lit(0))).alias("high"))
@@ -110,3 +110,15 @@ def most_common(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     return (
         df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(k)
     )
+
+
+def nearest_rank(df: DataFrame, key: str, value: str, share: float) -> DataFrame:
+    """key and the value at a share of each key's sorted values, by the nearest rank.  One distributed sort, whatever a key's size."""
+    from terralattice.operators.places import numbered
+    from terralattice.sources.scratch import use_checkpoints
+
+    use_checkpoints(df.sparkSession)
+    ranked = numbered(df.filter(F.col(value).isNotNull()).select(key, value), [key, value]).checkpoint()
+    per = ranked.groupBy(key).agg(F.min("number").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    wanted = per.select(key, (F.col("_first") + F.greatest(F.ceil(F.lit(share) * F.col("_n")), F.lit(1)) - 1).alias("number"))
+    return ranked.join(wanted, [key, "number"]).select(key, value)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from terralattice.functions.geo import EARTH_RADIUS, METRES_PER_DEGREE, covering_cells, grid_cell, haversine
 from terralattice.functions.shape import RING, closest_point, distance_to_line, hull_of, length_m, segments_of
+from terralattice.operators.places import numbered
 from terralattice.sources.scratch import use_checkpoints
 
 # Metres per second by mode and road class, classes that a mode cannot use, snapping radii, planning factors, largest radii.
@@ -477,13 +478,12 @@ def corridor(places: DataFrame, line: Column, metres: float, k: int | None = Non
 
 
 def even_sample(df: DataFrame, k: int, order: list[str]) -> DataFrame:
-    """k rows of a ranked list with both ends, evenly spread."""
-    w = Window.orderBy(*order)
+    """k rows of a ranked list with both ends, evenly spread; the rows are numbered in sorted ranges, not in one task."""
     n = df.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = df.withColumn("_i", F.row_number().over(w) - 1).crossJoin(F.broadcast(n))
+    ranked = numbered(df, order, "_i").withColumn("_i", F.col("_i") - 1).crossJoin(F.broadcast(n))  # one row of totals
     if k < 2:
         return ranked.filter("_i = 0").drop("_i", "_n")
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.floor(j * (F.col("_n") - 1) / (k - 1) + 0.5).cast("int"))
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.floor(j * (F.col("_n") - 1) / (k - 1) + 0.5).cast("long"))
     return ranked.filter((F.col("_n") <= k) | F.array_contains(wanted, F.col("_i"))).drop("_i", "_n")
 
 
@@ -513,8 +513,7 @@ def meeting_rank(legs: DataFrame) -> DataFrame:
         F.sum("seconds").alias("total"),
         F.bool_and(F.col("seconds").isNotNull()).alias("ok"),
     )
-    order = Window.orderBy("worst", "spread", "total", "place")
-    return per.filter("ok").drop("ok").withColumn("rank", F.row_number().over(order))
+    return numbered(per.filter("ok").drop("ok"), ["worst", "spread", "total", "place"], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def boundary_edges(nodes: DataFrame, metres: float) -> tuple[DataFrame, DataFrame]:
@@ -529,3 +528,30 @@ def boundary_edges(nodes: DataFrame, metres: float) -> tuple[DataFrame, DataFram
     )
     taken = cells.select(F.col("gx").alias("nx"), F.col("gy").alias("ny"))
     return cells, asked.join(taken, ["nx", "ny"], "left_anti").select("gx", "gy", "side")
+
+
+class GraphCache:
+    """Street graphs kept for reuse: a box inside one that was built for the same mode is answered from it.
+
+    A new graph is built over a box wider by ``margin``; beyond ``most`` graphs the one used longest ago goes.  Graphs are persisted on disk as
+    well as in memory, and Spark builds lost parts again.
+    """
+
+    def __init__(self, most: int = 4, margin: float = 1.3):
+        self.most, self.margin, self.kept = most, margin, []
+
+    def get(self, box: tuple[float, float, float, float], mode: str, build) -> DataFrame:
+        """The graph for a box; ``build(box, mode)`` makes a new one."""
+        for entry in self.kept:
+            (xmin, ymin, xmax, ymax), of_mode, found = entry
+            if of_mode == mode and xmin <= box[0] and ymin <= box[1] and xmax >= box[2] and ymax >= box[3]:
+                self.kept.remove(entry)
+                self.kept.append(entry)
+                return found
+        dx, dy = ((box[i + 2] - box[i]) * (self.margin - 1) / 2 for i in (0, 1))
+        wide = (box[0] - dx, box[1] - dy, box[2] + dx, box[3] + dy)
+        found = build(wide, mode).persist()
+        self.kept.append((wide, mode, found))
+        while len(self.kept) > self.most:
+            self.kept.pop(0)[2].unpersist()
+        return found

@@ -249,13 +249,19 @@ def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
-    """Rows numbered from 1 in an order, without a task that sees them all: sorted ranges, counted, and each range numbered from its offset."""
-    part = f"_{name}_part"
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id())
-    counts = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    """Rows numbered from 1 in an order, without a task that sees them all: sorted ranges, counted, and each numbered from its offset.
+
+    The ranges are checkpointed, so that counting and numbering see the same ones.
+    """
     from pyspark.sql import Window
 
+    use_checkpoints(df.sparkSession)
+    part, inside, before = (f"_{name}_{x}" for x in ("part", "inside", "before"))
+    ranged = df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()).checkpoint()
+    counts = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
     # A row per range, so one task may add them up.
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order))
-    return ranged.withColumn("_i", inside).join(F.broadcast(offsets.drop("_n")), part).withColumn(name, F.col("_before") + F.col("_i")).drop("_i", "_before", part)
+    sums = F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(part, F.coalesce(sums, F.lit(0)).alias(before))
+    rank = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    every = ranged.withColumn(inside, rank).join(F.broadcast(offsets), part)
+    return every.withColumn(name, F.col(before) + F.col(inside)).drop(part, inside, before)

@@ -221,3 +221,23 @@ def verify(claims: DataFrame, df: DataFrame) -> DataFrame:
     )
     measured = F.when(F.col("kind") == "count", count.cast("double")).when(F.col("kind") == "distance", F.col("nearest")).otherwise(F.round(minutes, 1))
     return rows.select("id", verdict.alias("verdict"), measured.alias("measured"))
+
+
+def resolve(query: str, divisions_found: DataFrame, df: DataFrame, lat: float, lon: float, limit: int = 5) -> DataFrame:
+    """rank, kind, id, label, km of what a query may mean: geocoded divisions (id, name, tier, population, lat, lon), and places (id, name, confidence,
+    lat, lon) whose names hold one of its words; the same name of a kind counts once.
+
+    The order is by label (3 exact to 1 inside), whole kilometres from a point, prominence, kind and id.
+    """
+    from terralattice.functions.geo import haversine
+
+    wanted = X.fold(F.lit(query))
+    words = F.filter(X.tokens(F.lit(query)), lambda w: F.length(w) > 0)
+    away = F.round(haversine(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon")) / 1000)
+    a = divisions_found.select(F.lit("division").alias("kind"), "id", "name", F.col("tier").alias("label"), away.alias("km"), F.log10(F.coalesce("population", F.lit(0)) + 1.0).alias("fame"))
+    hit = F.exists(words, lambda w: F.contains(X.fold(F.col("name")), X.fold(w)))
+    label = F.coalesce(_tier(X.fold(F.col("name")), wanted), F.lit(1))
+    b = df.filter(hit).select(F.lit("place").alias("kind"), "id", "name", label.alias("label"), away.alias("km"), F.coalesce("confidence", F.lit(0.0)).alias("fame"))
+    order = [F.desc("label"), "km", F.desc("fame"), "kind", "id"]
+    once = places.first_by(a.unionByName(b), ["kind", "name"], order)
+    return once.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terralattice.functions import geo, shape
 from terralattice.operators import answers as W
+from terralattice.operators import areas as A
 from terralattice.operators.places import within
 from terralattice.plans import geography as G
 from terralattice.plans._register import ADDRESSES_SQL, LAT, LAYER_SQL, LON, PLACES_SQL, query, sql_distance, sql_from_centre, sql_lat, sql_lon
@@ -269,7 +270,8 @@ def l07_array_truncate(spark, sf_dir):
     "SELECT event_type, quantile_disc(value, 95e-2) AS p95 FROM events GROUP BY event_type",
 )
 def a22_nearest_rank_p95(spark, sf_dir):
-    return G.table(spark, sf_dir, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
+    found = A.nearest_rank(G.table(spark, sf_dir, "events"), "event_type", "value", 0.95)
+    return found.withColumnRenamed("value", "p95")
 
 
 @query(

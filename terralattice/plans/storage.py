@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terralattice.functions.geo import box_meets
+from terralattice.operators import answers as W
 from terralattice.operators import names as N
 from terralattice.plans import geography as G
 from terralattice.plans._register import PLACES_SQL, query
@@ -140,3 +141,23 @@ def s17_mirror(spark, sf_dir):
 def f03_pushed_box(spark, sf_dir):
     """A box on raw struct fields, which reaches the scan of the stored files."""
     return spark.read.parquet(_stored(spark, sf_dir)).filter(box_meets("bbox", _BOX)).select("id")
+
+
+@query(
+    "s25_text_features",
+    f"""WITH {PLACES_SQL} SELECT id, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || round(lon, 6) || ',' || round(lat, 6) || ']}},"properties":{{"id":' || id || ',"name":"' || name || '"}}}}' AS feature,
+    printf('<wpt lat="%.6f" lon="%.6f"><name>%s</name></wpt>', lat, lon, name) AS gpx, printf('geo:%.6f,%.6f?z=17', lat, lon) AS link FROM places""",
+)
+def s25_text_features(spark, sf_dir):
+    lat, lon = F.col("lat"), F.col("lon")
+    return G.places(spark, sf_dir).select(
+        "id", W.feature(["id", "name"], lat, lon).alias("feature"), W.track_point(lat, lon, F.col("name")).alias("gpx"), W.map_link(lat, lon).alias("link")
+    )
+
+
+@query("s10_tiles_after_eviction", f"WITH {PLACES_SQL} SELECT id FROM places WHERE {_IN_BOX}")
+def s10_tiles_after_eviction(spark, sf_dir):
+    """A box read when the cache has lost its tiles again: the source answers."""
+    path, cache = _stored(spark, sf_dir), _tiled(spark, sf_dir)
+    S.evict(spark, cache, 0)
+    return S.resolve(spark, _BOX, path, cache, None, 0.0625)[1].select("id")

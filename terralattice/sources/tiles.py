@@ -71,9 +71,9 @@ def files_in_box(manifest: DataFrame, box: tuple[float, float, float, float], fi
         return None
     xmin, ymin, xmax, ymax = box
     meets = (F.col("xmax") >= xmin) & (F.col("xmin") <= xmax) & (F.col("ymax") >= ymin) & (F.col("ymin") <= ymax)
-    rows = manifest.groupBy(file).agg(F.bool_or(meets).alias("keep")).collect()
-    kept = sorted(r[file] for r in rows if r["keep"])
-    return kept if 0 < len(kept) < len(rows) else None
+    # Only the names of the files to read come to the driver.
+    kept = sorted(r[file] for r in manifest.filter(meets).select(file).distinct().collect())
+    return kept if 0 < len(kept) < manifest.select(file).distinct().count() else None
 
 
 def parquet_files(spark: SparkSession, path: str) -> list[str]:

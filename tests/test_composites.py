@@ -287,3 +287,41 @@ def test_addresses_by_street_forms(spark):
     for r in search.find_addresses(df, anchors, asked).orderBy("query", "rank").collect():
         got.setdefault(r["query"], []).append((r["number"], r["street"], r["unit"]))
     assert got == {"Market Street, Town": [("12", "MARKET ST", None), ("14", "MARKET ST NW", None)], "12 market st, TOWN": [("12", "MARKET ST", None)]}
+
+
+def test_graphs_are_reused_inside_their_box(spark):
+    made = []
+
+    def build(box, mode):
+        made.append((box, mode))
+        return spark.range(len(made)).selectExpr("id AS src", "id AS dst")
+
+    cache = graph.GraphCache(most=2)
+    first = cache.get((0, 0, 1, 1), "walk", build)
+    assert made[0][0] == pytest.approx((-0.15, -0.15, 1.15, 1.15))
+    assert cache.get((0.1, 0.1, 1.1, 1.1), "walk", build) is first and len(made) == 1
+    cache.get((0, 0, 1, 1), "drive", build)
+    cache.get((5, 5, 6, 6), "walk", build)
+    assert len(made) == 3 and first.storageLevel.useDisk is False  # the oldest went
+    cache.get((0, 0, 1, 1), "walk", build)
+    assert len(made) == 4
+
+
+def test_even_samples_and_nearest_ranks(spark):
+    from terralattice.operators import areas
+
+    df = spark.range(101).select((F.col("id") * 37 % 101).alias("v"))
+    assert sorted(r["v"] for r in graph.even_sample(df, 5, ["v"]).collect()) == [0, 25, 50, 75, 100]
+    assert graph.even_sample(df, 1, ["v"]).count() == 1 and graph.even_sample(df.limit(3), 9, ["v"]).count() == 3
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), rng.randrange(40)) for _ in range(300)] + [("c", 5), ("c", None)]
+    got = {r["k"]: r["v"] for r in areas.nearest_rank(spark.createDataFrame(rows, "k string, v int"), "k", "v", 0.95).collect()}
+    for k in "abc":
+        values = sorted(v for c, v in rows if c == k and v is not None)
+        assert got[k] == values[max(math.ceil(0.95 * len(values)), 1) - 1]
+
+
+def test_remote_options():
+    from terralattice.sources import remote
+
+    assert "spark.hadoop.fs.s3a.aws.credentials.provider" in remote.options() and len(remote.options(anonymous=False)) == len(remote.options()) - 1
