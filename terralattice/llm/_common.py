@@ -71,14 +71,28 @@ def _sweep() -> None:
             remove_path(path)
 
 
+#: Rows of a file of a table whose number of rows is bounded beforehand.
+FILE_ROWS = 200_000
+
+
 class Stored:
-    """A written table that cuts lineage; ``drop`` frees its space once no plan reads it, the driver's end does at the latest."""
+    """A written table that cuts lineage; ``drop`` frees its space once no plan reads it, the driver's end does at the latest.
 
-    def __init__(self, df: DataFrame, tag: str):
+    Where the number of rows has a known bound, ``at_most``, the table gets as few files as that asks for.
+    """
+
+    def __init__(self, df: DataFrame, tag: str, at_most: int | None = None, file_rows: int = FILE_ROWS):
         self.path = scratch_path(df.sparkSession, tag)
+        if at_most is not None:
+            df = df.coalesce(max(1, -(-at_most // file_rows)))
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = df.sparkSession.read.schema(df.schema).parquet(self.path)
 
+    @property
+    def rows(self) -> int:
+        """The number of rows, out of the files' footers."""
+        return self.df.count()
+
     def drop(self) -> None:
         remove_path(self.path)
 

@@ -31,16 +31,16 @@ def _state(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def connected_components(edges: DataFrame) -> Stored:
+def connected_components(edges: DataFrame, at_most: int | None = None) -> Stored:
     """u, v for every node but each component's smallest, v: that smallest node.
 
-    ``edges`` has columns u and v.  The steps end when a round leaves the edges as they are; then every
+    ``edges`` has columns u and v, and ``at_most`` rows if that is known.  The steps end when a round leaves the edges as they are; then every
     component is a star around its smallest node.  Nothing but two counters comes to the driver.
     """
-    now = Stored(edges.select("u", "v").filter("u <> v").distinct(), "edges")
+    now = Stored(edges.select("u", "v").filter("u <> v").distinct(), "edges", at_most)
     state = _state(now.df)
     while state[0]:
-        following = Stored(_small(_large(now.df)), "star")
+        following = Stored(_small(_large(now.df)), "star", state[0])  # the steps add no edges
         now.drop()
         before, now, state = state, following, _state(following.df)
         release_shuffles(edges.sparkSession)

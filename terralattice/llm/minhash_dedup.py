@@ -40,6 +40,8 @@ BANDS, ROWS = 32, 4
 MARGIN = 6.5
 #: Rows of a bucket whose signatures are compared with as many others at once, and shingles of the texts that are.
 SIGNED, SHINGLES = 4096, 1 << 19
+#: Rows with a signature in a file of a bounded table.
+SIGNED_ROWS = 50_000
 
 
 def _hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -260,9 +262,12 @@ class NearDuplicates:
             .groupBy("set_a", "set_b", "n")
             .agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets"), F.first("signature").alias("signature")),
             "classes",
+            signed.rows,
+            SIGNED_ROWS,
         )
         self.signatures = classes.df.select("rep", "n", "signature")
-        shared = self._shared(classes.df.select("rep", F.explode("buckets").alias("bucket")))
+        shared = self._shared(classes.df.select("rep", F.explode("buckets").alias("bucket")), bands * classes.rows)
+        in_buckets = shared.rows
         packed = Stored(
             texts.join(shared.df.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
             .select("doc_id", "text")
@@ -273,10 +278,10 @@ class NearDuplicates:
         release_shuffles(spark)
 
         first = shared.df.filter("rep <> pivot").select(F.col("pivot").alias("x"), F.col("rep").alias("y")).distinct()
-        stars = connected_components(self._confirmed(first))
-        more = self._stragglers(shared.df, stars.df)
+        stars = connected_components(self._confirmed(first), in_buckets)
+        more = self._stragglers(shared.df, stars.df, in_buckets)
         if more is not None:
-            wider = connected_components(stars.df.unionAll(more.df))
+            wider = connected_components(stars.df.unionAll(more.df), stars.rows + more.rows)
             for old in (stars, more):
                 old.drop()
             stars = wider
@@ -295,10 +300,10 @@ class NearDuplicates:
             "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
         )
 
-    def _shared(self, rows: DataFrame) -> Stored:
+    def _shared(self, rows: DataFrame, at_most: int) -> Stored:
         """bucket, rep, pivot of the buckets that hold several classes."""
         pivots = rows.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot < last")
-        return Stored(rows.join(pivots.select(apart(F.col("bucket")).alias("bucket"), "pivot"), "bucket"), "shared")
+        return Stored(rows.join(pivots.select(apart(F.col("bucket")).alias("bucket"), "pivot"), "bucket"), "shared", at_most)
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         """u, v of the pairs x, y that are similar."""
@@ -320,13 +325,14 @@ class NearDuplicates:
             .mapInArrow(_similar_sets(self.words, self.percent), "u long, v long")
         )
 
-    def _stragglers(self, shared: DataFrame, stars: DataFrame) -> Stored | None:
+    def _stragglers(self, shared: DataFrame, stars: DataFrame, at_most: int) -> Stored | None:
         """u, v: links across components within one bucket, found without making its pairs; None if there is none to look for."""
         placed = Stored(
             shared.join(stars.select(F.col("u").alias("rep"), F.col("v").alias("to")), "rep", "left").select(
                 "bucket", "rep", F.coalesce("to", "rep").alias("comp")
             ),
             "placed",
+            at_most,
         )
         per = placed.df.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"))
         # Two members were compared in the first round, and buckets of the same members need one look.
@@ -348,6 +354,8 @@ class NearDuplicates:
             .select("bucket", "rep", "comp", (F.col("comp") != F.col("main")).alias("outer"))
             .join(self.signatures, "rep"),
             "mixed",
+            at_most,
+            SIGNED_ROWS,
         )
         placed.drop()
         marked = Stored(
@@ -355,12 +363,14 @@ class NearDuplicates:
             .mapInArrow(_marked(self.percent, self.least_equal), "bucket long, rep long")
             .distinct(),
             "marked",
+            at_most,
         )
-        if marked.df.isEmpty():
+        found = marked.rows
+        if not found:
             for old in (marked, mixed):
                 old.drop()
             return None
-        asked = Stored(mixed.df.join(marked.df, ["bucket", "rep"], "left_semi"), "asked")
+        asked = Stored(mixed.df.join(marked.df, ["bucket", "rep"], "left_semi"), "asked", found, SIGNED_ROWS)
         for old in (marked, mixed):
             old.drop()
         out = Stored(
