@@ -34,6 +34,8 @@ from terralattice.llm._common import Stored, column, mix64, prepare, release_shu
 LENGTH, END_ID = 2048, 1
 SHARD_TOKENS = 2_000_000
 K1, B = 1.2, 0.75
+#: Share of a shard's documents from which on a term's postings are a dense row.
+COMMON = 1 / 12
 #: Byte-pair ids are numbered from common to rare merges; ids from here on make the lexical key.
 RARE_FROM = 3000
 
@@ -82,12 +84,15 @@ def _tokenised(path: str, end_id: int):
 
         def encode(text):
             # Most texts hold no added token, and looking for them inside the encoder costs time.
-            return encoding.encode(text, allowed_special="all") if any(t in text for t in added) else encoding.encode_ordinary(text)
+            found = encoding.encode(text, allowed_special="all") if any(t in text for t in added) else encoding.encode_ordinary(text)
+            found.append(end_id)
+            return np.array(found, np.uint32)
 
+        alone = np.array([end_id], np.uint32)
         for batch in batches:
             packed, sizes, keys = [], [], []
             for text in batch.column(1).to_pylist():
-                ids = np.array([*encode(text), end_id] if text else [end_id], np.uint32)
+                ids = encode(text) if text else alone
                 rare = ids[ids >= RARE_FROM]
                 packed.append(ids.astype(np.uint16 if ids.max() < 65536 else np.uint32).tobytes())
                 sizes.append(len(ids))
@@ -106,53 +111,68 @@ def unpacked(ids: bytes, n: int) -> np.ndarray:
 
 def _frequencies(batches):
     """Documents per token id within one task."""
-    counts = np.zeros(0, np.int64)
+    counts, last = np.zeros(0, np.int64), np.zeros(0, np.int32)
     for batch in batches:
-        for ids, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            distinct = np.unique(unpacked(ids, n))
-            if int(distinct[-1]) >= len(counts):
-                counts = np.concatenate((counts, np.zeros(int(distinct[-1]) + 1 - len(counts), np.int64)))
-            counts[distinct] += 1
-    at = np.flatnonzero(counts)
-    if len(at):
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["token", "df"])
+        for packed, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids = unpacked(packed, n)
+            if int(ids.max()) >= len(counts):
+                more = np.zeros(int(ids.max()) + 1 - len(counts), np.int64)
+                counts, last = np.concatenate((counts, more)), np.concatenate((last, more.astype(np.int32)))
+            # Of equal ids the last one counts, which takes no sorting.
+            at = np.arange(n, dtype=np.int32)
+            last[ids] = at
+            counts[ids[last[ids] == at]] += 1
+    found = np.flatnonzero(counts)
+    if len(found):
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found], pa.int64())], names=["token", "df"])
 
 
 class Index:
-    """BM25 over one shard with the corpus's statistics: postings sorted by term, and each document's terms.
+    """BM25 over one shard with the corpus's statistics: postings by term, and each document's terms.
 
-    Postings of used documents are dropped whenever half of the documents still listed are used.
+    Terms that COMMON or more of the documents hold have their postings as dense rows, the others as lists sorted by term.  Postings of used
+    documents are dropped whenever half of the documents still listed are used.
     """
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
         self.used = np.zeros(len(docs), bool)
-        self.listed = len(docs)
+        self.live = np.arange(len(docs))
         self.terms, counts = zip(*(np.unique(ids, return_counts=True) for ids in docs))
         owners = np.repeat(np.arange(len(docs)), [len(t) for t in self.terms])
         terms, counts = np.concatenate(self.terms), np.concatenate(counts)
         lengths = np.array([len(d) for d in docs], float)
         damp = K1 * (1 - B + B * lengths[owners] / max(mean_length, 1.0))
+        weights = idf[terms] * counts * (K1 + 1) / (counts + damp)
+        df = np.bincount(terms, minlength=len(idf))
+        common = np.flatnonzero(df >= max(2, COMMON * len(docs)))
+        self.row = np.full(len(idf), -1)
+        self.row[common] = np.arange(len(common))
+        dense = self.row[terms] >= 0
+        self.dense = np.zeros((len(common), len(docs)), np.float32)
+        self.dense[self.row[terms[dense]], owners[dense]] = weights[dense]
+        terms, owners, weights = terms[~dense], owners[~dense], weights[~dense]
         order = np.argsort(terms, kind="stable")
-        self.owners = owners[order]
-        self.weights = (idf[terms] * counts * (K1 + 1) / (counts + damp))[order]
+        self.owners, self.weights = owners[order], weights[order]
         self.starts = np.concatenate(([0], np.cumsum(np.bincount(terms, minlength=len(idf)))))
 
     def _drop_used(self) -> None:
         keep = ~self.used[self.owners]
         self.starts = np.concatenate(([0], np.cumsum(keep)))[self.starts]
         self.owners, self.weights = self.owners[keep], self.weights[keep]
-        self.listed = int((~self.used).sum())
+        left = ~self.used[self.live]
+        self.live, self.dense = self.live[left], np.ascontiguousarray(self.dense[:, left])
 
     def scores(self, doc: int) -> np.ndarray:
         """Every document's score over all terms of ``doc``; 0 for used ones."""
-        if 2 * int((~self.used).sum()) <= self.listed:
+        if 2 * int((~self.used).sum()) <= len(self.live):
             self._drop_used()
-        terms = self.terms[doc]
+        terms, out = self.terms[doc], np.zeros(len(self.used))
+        rows = self.row[terms]
         lists = [slice(a, b) for a, b in zip(self.starts[terms].tolist(), self.starts[terms + 1].tolist()) if a < b]
-        if not lists:
-            return np.zeros(len(self.used))
-        owners, weights = (np.concatenate([x[s] for s in lists]) for x in (self.owners, self.weights))
-        out = np.bincount(owners, weights, len(self.used))
+        if lists:
+            owners, weights = (np.concatenate([x[s] for s in lists]) for x in (self.owners, self.weights))
+            out = np.bincount(owners, weights, len(self.used))
+        out[self.live] += self.dense[rows[rows >= 0]].sum(axis=0)
         out[self.used] = 0
         return out
 

@@ -328,11 +328,11 @@ def test_neighbours_are_scored_over_all_terms():
     index.used[7] = True
     got = list(index.neighbours(7, first=5))
     assert sorted(got) == [i for i in range(40) if i != 7]
-    assert np.all(np.diff(np.array(want)[got]) < 1e-9)
+    assert np.all(np.diff(np.array(want)[got]) < 1e-4)  # common terms are summed in single precision
     # The same, for what is left, when most documents are used and their postings dropped.
     index.used[:30] = True
-    assert list(index.neighbours(7)) == [i for i in got if i >= 30] and len(index.owners) < 40 * 200
-    assert np.allclose(index.scores(7)[30:], np.array(want)[30:])
+    assert list(index.neighbours(7)) == [i for i in got if i >= 30] and len(index.live) == 10
+    assert np.allclose(index.scores(7)[30:], np.array(want)[30:], rtol=1e-5)
 
 
 def test_packing_in_shards_of_tokens(spark):
