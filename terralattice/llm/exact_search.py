@@ -84,18 +84,19 @@ def sides(ids: list[int], vectors: list[np.ndarray], scale: int) -> dict[int, Si
     }
 
 
+def exact_in_floats(queries: Side, rows: Side) -> bool:
+    """Whether all products of two sides are integers that doubles hold."""
+    return queries.largest * rows.largest * max(1, rows.x.shape[1]) < _EXACT
+
+
 def exact_products(queries: Side, rows: Side, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Integer products of query i with row j: in floats while they are exact, else in Python's integers, cut to 64 bits."""
-    if queries.largest * rows.largest * max(1, rows.x.shape[1]) < _EXACT:
-        some, all_ = np.unique(i), np.unique(j)
-        if len(i) >= DENSE * len(some) * len(all_):
-            whole = queries.x[some] @ rows.x[all_].T
-            return whole[np.searchsorted(some, i), np.searchsorted(all_, j)].astype(np.int64)
+    if exact_in_floats(queries, rows):
         at_once = max(1, (1 << 20) // max(1, rows.x.shape[1]))
         parts = [
             np.einsum("ij,ij->i", queries.x[i[a : a + at_once]], rows.x[j[a : a + at_once]]) for a in range(0, len(i), at_once)
         ]
-        return np.concatenate(parts).astype(np.int64)
+        return np.concatenate([np.empty(0), *parts]).astype(np.int64)
     values = [sum(int(a) * int(b) for a, b in zip(queries.x[m], rows.x[n])) for m, n in zip(i, j)]
     return np.array([min(max(v, -_LONG), _LONG - 1) for v in values], np.int64)
 
@@ -121,46 +122,57 @@ class Best:
                 heapq.heapreplace(self.heap, (score, -i))
 
 
-def _bounds(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _distances(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Lower bounds of the squared distances of the pairs i, j at one level."""
-    some, all_ = np.unique(i), np.unique(j)
-    if len(i) >= DENSE * len(some) * len(all_):
-        p, q = a[some], b[all_]
-        far = (p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * (p @ q.T)
-        return far[np.searchsorted(some, i), np.searchsorted(all_, j)]
     at_once = max(1, (1 << 20) // a.shape[1])
     parts = [((a[i[n : n + at_once]] - b[j[n : n + at_once]]) ** 2).sum(1) for n in range(0, len(i), at_once)]
     return np.concatenate(parts) if parts else np.empty(0)
 
 
 def search(queries: Side, rows: Side, best: list[Best], at_once: int = 256) -> int:
-    """Coarse to fine over one batch of rows, for all queries of a block, ``at_once`` queries at a time; returns the exact products made."""
+    """Coarse to fine over one batch of rows, for all queries of a block, ``at_once`` queries at a time; returns the exact products made.
+
+    While many pairs are alive a level is one matrix product; as soon as few are, only these are looked at, pair by pair.
+    """
     made = 0
     for first in range(0, len(queries.ids), at_once):
-        least = np.array([b.least for b in best[first : first + at_once]])
-        i, j = np.nonzero(queries.ids[first : first + at_once, None] != rows.ids[None, :])
-        i += first
+        part = slice(first, first + at_once)
+        least = np.array([b.least for b in best[part]])
+        alive, i, j = queries.ids[part, None] != rows.ids[None, :], None, None
+        both = queries.norm[part, None] + rows.norm[None, :]
+        # Rounding of the float bounds is far below this slack; a bound never drops a true neighbour.
+        goal = 2 * least[:, None] - both * (1 + 2e-9) - 2.0
         for a, b in zip(queries.levels, rows.levels):
-            both = queries.norm[i] + rows.norm[j]
-            # Rounding of the float bounds is far below this slack; a bound never drops a true neighbour.
-            alive = (both - _bounds(a, b, i, j)) / 2 + 1e-9 * both + 1.0 >= least[i - first]
-            i, j = i[alive], j[alive]
-        if not len(i):
-            continue
-        scores = exact_products(queries, rows, i, j)
-        made += len(i)
-        keep = scores >= least[i - first]
-        i, j, scores = i[keep], j[keep], scores[keep]
+            if i is None:
+                a = a[part]
+                near = (2 * (a @ b.T) - (a * a).sum(1)[:, None]) - (b * b).sum(1)[None, :]
+                alive &= near >= goal
+                if np.count_nonzero(alive) < DENSE * alive.size:
+                    i, j = np.nonzero(alive)
+            else:
+                keep = -_distances(a, b, i + first, j) >= goal[i, j]
+                i, j = i[keep], j[keep]
+        if i is None and exact_in_floats(queries, rows):
+            scores = queries.x[part] @ rows.x.T
+            made += int(np.count_nonzero(alive))
+            i, j = np.nonzero(alive & (scores >= least[:, None]))
+            scores = scores[i, j].astype(np.int64)
+        else:
+            i, j = np.nonzero(alive) if i is None else (i, j)
+            scores = exact_products(queries, rows, i + first, j)
+            made += len(i)
+            keep = scores >= least[i]
+            i, j, scores = i[keep], j[keep], scores[keep]
         cuts = np.flatnonzero(np.diff(i, prepend=-1))
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(i)]):
-            best[i[a]].add(scores[a:b], rows.ids[j[a:b]])
+            best[i[a] + first].add(scores[a:b], rows.ids[j[a:b]])
     return made
 
 
 def seeds(queries: Side, some: Side | None, k: int) -> np.ndarray:
     """A score that each query's k-th best reaches for sure, from some rows of the table."""
     out = np.full(len(queries.ids), -np.inf)
-    if some is None or queries.largest * some.largest * max(1, some.x.shape[1]) >= _EXACT:
+    if some is None or not exact_in_floats(queries, some):
         return out
     for first in range(0, len(out), 256):
         scores = queries.x[first : first + 256] @ some.x.T
