@@ -131,14 +131,68 @@ def costs(edges: DataFrame, mode: str, class_speed: dict[str, float] | None = No
     return both.groupBy("src", "dst").agg(F.min("cost").alias("cost")).select("src", "dst", "cost.seconds", "cost.metres")
 
 
-def reachable(directed: DataFrame, sources: DataFrame, seconds: float) -> DataFrame:
-    """origin, node, seconds of everything within a budget: relaxations of the nodes that got cheaper, until none does.
+#: Directed edges up to which a graph goes to every task; larger ones are searched by joins.
+SMALL_GRAPH = 2_000_000
+
+
+class Compact:
+    """A graph as arrays: the nodes in order, and each one's edges."""
+
+    def __init__(self, edges):
+        src, dst, seconds = (edges.column(c).to_numpy() for c in ("src", "dst", "seconds"))
+        self.nodes = np.unique(np.concatenate((src, dst)))
+        at = np.searchsorted(self.nodes, src)
+        order = np.argsort(at, kind="stable")
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(self.nodes)))))
+        self.to, self.seconds = np.searchsorted(self.nodes, dst)[order], seconds[order]
+
+    def within(self, source, budget: float) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes that a source reaches within a budget, and the least seconds to each; itself at 0, whether it has edges or not."""
+        first = int(np.searchsorted(self.nodes, source))
+        if first == len(self.nodes) or self.nodes[first] != source:
+            return np.array([source]), np.zeros(1)
+        starts, to, cost = self.starts.tolist(), self.to.tolist(), self.seconds.tolist()
+        best, done, todo = {first: 0.0}, set(), [(0.0, first)]
+        while todo:
+            d, u = heapq.heappop(todo)
+            if u in done:
+                continue
+            done.add(u)
+            for k in range(starts[u], starts[u + 1]):
+                there, v = d + cost[k], to[k]
+                if there <= budget and there < best.get(v, math.inf):
+                    best[v] = there
+                    heapq.heappush(todo, (there, v))
+        return self.nodes[list(best)], np.array(list(best.values()))
+
+
+def _reached_in_tasks(directed: DataFrame, sources: DataFrame, seconds: float) -> DataFrame:
+    """A search per origin in a task of its own, on a graph of checked size that every task has."""
+    shared = directed.sparkSession.sparkContext.broadcast(Compact(directed.select("src", "dst", "seconds").toArrow()))
+    kind = lambda c: sources.schema[c].dataType.simpleString()
 
-    Lineage is cut with checkpoint(), which survives lost executors.
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found: dict = {}
+        for node in group["node"]:
+            for n, s in zip(*shared.value.within(node, seconds)):
+                found[n] = min(s, found.get(n, math.inf))
+        return pd.DataFrame({"origin": group["origin"].iloc[0], "node": list(found), "seconds": list(found.values())})
+
+    return sources.groupBy("origin").applyInPandas(run, f"origin {kind('origin')}, node {kind('node')}, seconds double")
+
+
+def reachable(directed: DataFrame, sources: DataFrame, seconds: float, small: int = SMALL_GRAPH) -> DataFrame:
+    """origin, node, seconds of everything within a budget of sources (origin, node).
+
+    A graph of at most ``small`` edges, counted before, is searched per origin in tasks.  In a larger one nodes that got cheaper are relaxed by
+    joins until none does.  Lineage is cut with checkpoint(), which survives lost executors.
     """
     use_checkpoints(directed.sparkSession)
     directed = directed.select("src", "dst", "seconds").checkpoint()
-    best = sources.select("origin", "node", F.lit(0.0).alias("seconds")).distinct().checkpoint()
+    sources = sources.select("origin", "node").distinct()
+    if directed.count() <= small:
+        return _reached_in_tasks(directed, sources, seconds).checkpoint()
+    best = sources.withColumn("seconds", F.lit(0.0)).checkpoint()
     front = best
     while not front.isEmpty():
         # Only nodes that got cheaper go on, and only if the budget holds.
@@ -381,24 +435,11 @@ def path_to(before: dict, target) -> list:
     return out[::-1]
 
 
-def one_to_many(directed: DataFrame, pairs: DataFrame, budget: float = math.inf, max_edges: int = 2_000_000) -> DataFrame:
-    """origin, destination, seconds (null if unroutable): a search per origin on a subgraph of checked size, spread over tasks.
-
-    The subgraph is broadcast only after its edges are counted; a larger one is searched by ``reachable``.
-    """
-    n = directed.count()
-    if n > max_edges:
-        origins = pairs.select("origin", F.col("origin").alias("node")).distinct()
-        found = reachable(directed, origins, budget).withColumnRenamed("node", "destination")
-        return pairs.join(found, ["origin", "destination"], "left").select("origin", "destination", "seconds")
-    shared = directed.sparkSession.sparkContext.broadcast(adjacency_of(directed.select("src", "dst", "seconds").toLocalIterator()))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        found, _ = shortest(shared.value, group["origin"].iloc[0], budget)
-        return group.assign(seconds=[found.get(d, np.nan) for d in group["destination"]])
-
-    out = pairs.groupBy("origin").applyInPandas(run, "origin long, destination long, seconds double")
-    return out.withColumn("seconds", F.when(~F.isnan("seconds"), F.col("seconds")))
+def one_to_many(directed: DataFrame, pairs: DataFrame, budget: float = math.inf, max_edges: int = SMALL_GRAPH) -> DataFrame:
+    """origin, destination, seconds (null if unroutable) of pairs."""
+    origins = pairs.select("origin", F.col("origin").alias("node")).distinct()
+    found = reachable(directed, origins, budget, max_edges).withColumnRenamed("node", "destination")
+    return pairs.join(found, ["origin", "destination"], "left").select("origin", "destination", "seconds")
 
 
 def best_tour(cost: list[list[float]], round_trip: bool) -> tuple[float, tuple[int, ...]]:

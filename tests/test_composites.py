@@ -325,3 +325,19 @@ def test_remote_options():
     from terralattice.sources import remote
 
     assert "spark.hadoop.fs.s3a.aws.credentials.provider" in remote.options() and len(remote.options(anonymous=False)) == len(remote.options()) - 1
+
+
+def test_searches_in_tasks_and_by_joins_agree(spark):
+    rng = random.Random(12)
+    edges = {(rng.randrange(60), rng.randrange(60)): float(rng.randrange(1, 9)) for _ in range(180)}
+    directed = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items() if a != b], "src long, dst long, seconds double")
+    sources = spark.createDataFrame([(1, 1), (2, 2), (2, 5), (99, 99)], "origin long, node long")
+    for budget in (6.0, math.inf):
+        rows = [{tuple(r) for r in graph.reachable(directed, sources, budget, small).collect()} for small in (0, 10**6)]
+        assert rows[0] == rows[1] and (99, 99, 0.0) in rows[0]
+        for origin, starts in ((1, (1,)), (2, (2, 5))):
+            best = {}
+            for s in starts:
+                for node, d in graph.shortest(graph.adjacency_of((a, b, w) for (a, b), w in edges.items() if a != b), s, budget)[0].items():
+                    best[node] = min(d, best.get(node, math.inf))
+            assert {(n, d) for o, n, d in rows[0] if o == origin} == set(best.items())
