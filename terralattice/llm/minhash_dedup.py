@@ -41,7 +41,7 @@ MARGIN = 6.5
 #: Rows of a bucket whose signatures are compared with as many others at once, and shingles of the texts that are.
 SIGNED, SHINGLES = 4096, 1 << 19
 #: Rows with a signature in a file of a bounded table.
-SIGNED_ROWS = 50_000
+SIGNED_ROWS = 25_000
 
 
 def _hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
