@@ -37,7 +37,8 @@ def _meeting(names: DataFrame, asked: DataFrame) -> DataFrame:
     grams = F.array_distinct(
         F.flatten(F.transform(starts(F.col("folded")), lambda i: F.array(*(F.substr(F.col("folded"), i, F.lit(n)) for n in (1, 2, 3)))))
     )
-    return names.withColumn("_g", F.explode(grams)).join(asked.withColumn("_g", F.substr("wanted", F.lit(1), F.lit(3))), "_g").drop("_g")
+    # The stated queries are broadcast, so that the names' grams are looked up where they are made and never shuffled.
+    return names.withColumn("_g", F.explode(grams)).join(F.broadcast(asked.withColumn("_g", F.substr("wanted", F.lit(1), F.lit(3)))), "_g").drop("_g")
 
 
 def candidates(names: DataFrame, alternates: DataFrame, queries: DataFrame, threshold: float = X.FUZZY_THRESHOLD) -> DataFrame:
@@ -61,7 +62,9 @@ def candidates(names: DataFrame, alternates: DataFrame, queries: DataFrame, thre
         .select("query", "state", X.fold(F.col("v")).alias("wanted"))
     )
     by_variant = _meeting(folded, spelled).withColumn("tier", _tier(F.col("folded"), F.col("wanted"))).filter(there & F.col("tier").isNotNull())
-    by_alternate = asked.join(alternates.select("id", F.col("folded").alias("wanted")), "wanted").join(names.select("id", "region"), "id").filter(there)
+    # Names in a column or two look small enough to broadcast by the size of their file, and are not; joins by id merge.
+    aliased = alternates.select("id", F.col("folded").alias("wanted")).join(F.broadcast(asked), "wanted")
+    by_alternate = aliased.join(names.select("id", "region").hint("merge"), "id").filter(there)
     every = (
         found.unionAll(by_variant.select("query", "id", "tier", F.lit(1).alias("variant")))
         .unionAll(by_alternate.select("query", "id", F.lit(3).alias("tier"), F.lit(1).alias("variant")))
@@ -89,7 +92,8 @@ def geocode(names: DataFrame, alternates: DataFrame, queries: DataFrame, limit:
     """
     weight = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in SUBTYPE_WEIGHT.items() for x in kv)), F.col("subtype")), F.lit(0))
     of_region = names.filter("subtype = 'region'").groupBy(F.col("region").alias("_region")).agg(F.max("population").alias("region_population"))
-    rows = candidates(names, alternates, queries).join(names.select("id", "subtype", "region", "population", "depth", weight.alias("weight")), "id")
+    known = names.select("id", "subtype", "region", "population", "depth", weight.alias("weight"))
+    rows = candidates(names, alternates, queries).join(known.hint("merge"), "id")
     rows = rows.join(of_region, F.col("region") == F.col("_region"), "left")
     people = F.coalesce("population", F.lit(0))
     order = Window.partitionBy("query").orderBy(

@@ -235,6 +235,19 @@ def test_rows_are_numbered_without_one_task_for_all(spark):
     assert got == list(range(1, 1001))
 
 
+def test_geocode_broadcasts_no_names(spark, tmp_path):
+    # Two columns of the names are small by the estimate, so Spark broadcasts them unless the join says otherwise.
+    rows = [(i, f"Spring {i}", "locality", "US-IL", i, 1) for i in range(50)]
+    spark.createDataFrame(rows, "id long, name string, subtype string, region string, population long, depth int").write.parquet(f"{tmp_path}/names")
+    df = spark.read.parquet(f"{tmp_path}/names")
+    asked = spark.createDataFrame([("spring 7",), ("alias 3",)], "query string")
+    aliases = df.select("id", F.concat(F.lit("alias "), F.col("id").cast("string")).alias("folded"))
+    found = search.geocode(df, aliases, asked)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin [id#") >= 2 and "BroadcastHashJoin [id#" not in plan
+    assert {(r["query"], r["id"]) for r in found.filter("rank = 1").collect()} == {("spring 7", 7), ("alias 3", 3)}
+
+
 def test_equal_legs_tie_whatever_their_order(spark):
     # Summed from the left, the second place's legs come to a last digit less; both are as good, so the id decides.
     legs = [10153.95603515707, 1146.31693501039, 9912.194924115527]
