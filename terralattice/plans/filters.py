@@ -413,5 +413,5 @@ def e21_grid_metres(spark, sf_dir):
     SELECT g, round(min(r), 4) AS radius FROM c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.g = c.g AND sqrt(pow(p.x - c.x, 2) + pow(p.y - c.y, 2)) > c.r * (1e0 + 1e-9) + 1e-9) GROUP BY g""")
 def g16_enclosing_circle(spark, sf_dir):
     x, y = F.round((F.col("lon") + 74.1) * 25000), F.round((F.col("lat") - 40.5) * 25000)
-    groups = G.layer(spark, sf_dir).groupBy((F.col("id") % 20).alias("g")).agg(F.collect_list(shape.vertex(x, y)).alias("p"))
-    return groups.select("g", F.round(shape.enclosing(F.col("p"))["r"], 4).alias("radius"))
+    points = G.layer(spark, sf_dir).select((F.col("id") % 20).alias("g"), x.alias("x"), y.alias("y"))
+    return shape.circles(points, "g", "x", "y").select("g", F.round("circle.r", 4).alias("radius"))

@@ -1,7 +1,10 @@
 """Functions against closed forms and brute force."""
 
+import itertools
 import math
+import random
 import struct
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -106,6 +109,43 @@ def test_hull_and_circle():
     assert (x, y, r) == pytest.approx((1, 0, 1))
 
 
+def brute_radius(points):
+    best = math.inf
+    for some in [*itertools.combinations(points, 2), *itertools.combinations(points, 3)]:
+        (ax, ay), (bx, by), *more = some
+        x, y = (ax + bx) / 2, (ay + by) / 2
+        if more:
+            (cx, cy) = more[0]
+            d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
+            if not d:
+                continue
+            x = ((ax * ax + ay * ay) * (by - cy) + (bx * bx + by * by) * (cy - ay) + (cx * cx + cy * cy) * (ay - by)) / d
+            y = ((ax * ax + ay * ay) * (cx - bx) + (bx * bx + by * by) * (ax - cx) + (cx * cx + cy * cy) * (bx - ax)) / d
+        best = min(best, max(math.hypot(px - x, py - y) for px, py in points))
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), min_size=2, max_size=9, unique=True))
+def test_circle_against_all_pairs_and_triples(points):
+    assert shape.enclosing_circle(points)[2] == pytest.approx(brute_radius(points), rel=1e-9)
+
+
+def test_circles_of_many_points(spark):
+    # 3,000 points a group have 4.5e9 triples; on a line the two ends count.
+    rng = random.Random(5)
+    rows = [(g, float(rng.randrange(10_000)), float(rng.randrange(10_000))) for g in range(4) for _ in range(3000)]
+    rows += [(9, float(i), 3.0 * i) for i in range(5)] + [(10, 7.0, 7.0)] * 2
+    df = spark.createDataFrame(rows, "g int, x double, y double").repartition(3)
+    began = time.time()
+    got = {r["g"]: r["circle"] for r in shape.circles(df, "g", "x", "y").collect()}
+    assert time.time() - began < 60
+    for g, (x, y, r) in got.items():
+        away = sorted((math.hypot(a - x, b - y) for k, a, b in rows if k == g), reverse=True)
+        assert away[0] == pytest.approx(r, rel=1e-9) and (r == 0 or away[1] == pytest.approx(r, rel=1e-9))
+    assert got[9]["r"] == pytest.approx(math.hypot(4, 12) / 2) and got[10]["r"] == 0
+
+
 def test_simplify_keeps_ends():
     line = [(i / 10, math.sin(i / 10)) for i in range(60)]
     short, tolerance = shape.simplify_to_count(line, 8)
