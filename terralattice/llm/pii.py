@@ -7,8 +7,8 @@ Each candidate has a few small integer features of its format and context.
 No person has labelled the candidates.  Their labels are weak ones, by evidence that the features do not show and the base patterns
 do not ask for: an email's written-out form ends in a name of letters, an ip has four plain octets and is no version, a card's
 digits pass Luhn, a phone number can be dialled, stands alone and is neither card nor ip, and a secret stands behind a word like password or token or begins as
-issued keys do (its own context is no feature).  Trees are fitted on the counts of feature vectors among the candidates of at most
-about ``train_docs`` documents (the documented bound; that many vectors at most come to the driver).  Scores of rows that a model has not
+issued keys do (its own context is no feature).  Trees are fitted on the counts of feature vectors among the candidates of all
+documents; only the distinct vectors, few as features are small integers, come to the driver.  Scores of rows that a model has not
 seen, from FOLDS folds of documents, are calibrated per kind by isotonic regression; a kind's threshold is the lowest score whose calibrated
 probability is PRECISION.
 
@@ -31,10 +31,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralattice.llm._common import column, columns, free_prefix, prepare, salted_id_fraction
+from terralattice.llm._common import column, columns, free_prefix, prepare
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-TRAIN_DOCS = 20_000
 PRECISION = 0.95
 ROUNDS, RATE, DEPTH, FOLDS = 24, 0.3, 2, 3
 CONTEXT = 24
@@ -323,12 +322,10 @@ class Boosted:
         return self.score(x["f"]) >= limit if limit < math.inf else F.lit(False)
 
 
-def fit(docs: DataFrame, *, train_docs: int = TRAIN_DOCS, text: str = "text", doc_id: str = "doc_id") -> Boosted:
-    share = min(1.0, train_docs / max(1, docs.count()))
-    sample = docs.select(column(doc_id).alias("id"), searchable(column(text)).alias("text")).filter(
-        salted_id_fraction(F.col("id")) < share
-    )
-    found = sample.select(
+def fit(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Boosted:
+    """The model of the candidates of all ``docs``."""
+    every = docs.select(column(doc_id).alias("id"), searchable(column(text)).alias("text"))
+    found = every.select(
         F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(FOLDS)).cast("int").alias("fold"),
         F.explode(F.concat(*candidates(F.col("text"), label=True))).alias("x"),
     )

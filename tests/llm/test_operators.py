@@ -754,6 +754,13 @@ def luhn(digits):
     return total % 10 == 0
 
 
+def test_personal_data_is_fitted_on_all_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "Boosted", seen.append)
+    pii.fit(spark.range(24_000).selectExpr("id AS doc_id", "concat('mail ', id, '@host.org') AS text"))
+    assert sum(n for _, n in seen[0].values()) == 24_000 and sum(y for y, _ in seen[0].values()) == 24_000
+
+
 def brute_pii(text):
     out = []
     for rank, (kind, pattern) in enumerate(BASE):
