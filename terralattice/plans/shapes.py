@@ -138,8 +138,7 @@ def g14_simplify_line(spark, sf_dir):
     "SELECT o_orderkey AS id, CAST(least(3, 2 + o_orderkey % 2) AS INTEGER) AS vertices FROM orders",
 )
 def g14_simplify_to_count(spark, sf_dir):
-    line, odd = F.col("line"), F.col("id") % 2 == 1
-    short = F.when(odd, shape.simplified(3)(line)).otherwise(shape.simplified(2)(line))
+    short = shape.simplified(F.when(F.col("id") % 2 == 1, 3).otherwise(2))(F.col("line"))
     return G.waterways(spark, sf_dir).select("id", F.size(short).alias("vertices"))
 
 

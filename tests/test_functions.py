@@ -152,6 +152,21 @@ def test_simplify_keeps_ends():
     assert len(short) <= 8 and short[0] == line[0] and short[-1] == line[-1] and tolerance > 0
 
 
+def test_simplify_to_count_in_any_unit(spark):
+    # The corner is a million units off, more than any tolerance that doubling from 1e-7 forty times reaches.
+    assert shape.simplify_to_count([(0, 0), (1e6, 1e6), (2e6, 0)], 2)[0] == [(0, 0), (2e6, 0)]
+    rng = random.Random(9)
+    lines = [[(rng.random(), rng.random()) for _ in range(n)] for n in (0, 1, 2, 3, 7, 40)]
+    df = spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in l]) for i, l in enumerate(lines)] + [(6, None)], f"id int, line {shape.RING}").coalesce(1)
+    for most in (2, 3, 8):
+        got = {r["id"]: r["s"] and [tuple(v) for v in r["s"]] for r in df.select("id", shape.simplified(most)(F.col("line")).alias("s")).collect()}
+        assert got[6] is None
+        for i, line in enumerate(lines):
+            short, tolerance = shape.simplify_to_count(line, most)
+            assert (got[i] or []) == short and len(short) <= most
+            assert short == line or short == shape.simplify_line(line, tolerance)
+
+
 def test_jaro_winkler():
     assert text.jaro_winkler_of("martha", "marhta") == pytest.approx(0.9611, abs=1e-4)
     assert text.jaro_winkler_of("abc", "") == 0.0 and text.jaro_winkler_of(None, "a") is None
